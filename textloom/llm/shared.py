@@ -81,3 +81,13 @@ class RepeatFilter:
             byte = F.expr(f"cast(conv(hex(substring(_bits{k}, cast(pmod(_slot{k}, {self.BLOCK}) div 8 + 1 as int), 1)), 16, 10) as int)")
             marks.append(F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(pmod(_slot{k}, 8) as int))")) != 0, F.lit(False)))
         return df.select(*[F.col(f"`{c}`") for c in kept], (marks[0] & marks[1]).alias(name))
+
+
+def per_worker(key: tuple, make):
+    """What make() gives, made once in each Python worker and not once for each task."""
+    import sys
+
+    held = sys.__dict__.setdefault("_held_by_worker", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
