@@ -50,47 +50,50 @@ def best_fit(lengths, capacity: int) -> list[list[int]]:
     return bins
 
 
+#: Items that are chosen by branching in a filling; what room is left after them is filled longest first.
+BRANCHED = 4
+
+
 def _dominated(filling: list[int], slack: int, stock: _Stock) -> bool:
     """Could an item that is left replace one or two of the filling's and fill more?"""
-    if not slack:
+    if not slack or len(filling) > BRANCHED:
         return False
-    parts = set(filling) | {a + b for k, a in enumerate(filling) for b in filling[:k]}
-    for part in parts:
+    for part in {*filling, *(a + b for k, a in enumerate(filling) for b in filling[:k])}:
         x = stock.largest(part + slack)
-        while x >= part and x:
-            spare = stock.count[x] - filling.count(x)
-            if spare > 0 and (x > part or part not in filling):
-                return True
-            x = stock.largest(x - 1)
+        if (x > part or x == part and part not in filling) and stock.count[x] > filling.count(x):
+            return True
     return False
 
 
-def fillings(room: int, stock: _Stock, width: int, keep: int, steps: int = 80) -> list[list[int]]:
+def fillings(room: int, stock: _Stock, width: int, keep: int, steps: int = 60) -> list[list[int]]:
     """Undominated fillings of the room, least waste first. width bounds the lengths tried at each place, steps the enumeration."""
-    if not room or not stock.largest(room):
-        return [[]]
     found: list[tuple[int, list[int]]] = []
 
     def extend(filling: list[int], left: int, most: int) -> bool:
-        """True once a filling without waste is found (it is undominated, and none wastes less) or the steps are used up."""
+        """True once a filling without waste is found: it is undominated, and none wastes less."""
         nonlocal steps
-        steps -= 1
         x, tried = stock.largest(min(left, most)), 0
-        if not x:
-            if not any(stock.count[y] > filling.count(y) for y in [stock.largest(left)] if y):
-                found.append((left, filling))
-            return not left or steps <= 0
-        while x and tried < width:
+        if x and len(filling) >= BRANCHED:
+            filling = list(filling)
+            while x:
+                n = min(stock.count[x] - filling.count(x), left // x)
+                filling += [x] * n
+                left -= n * x
+                x = stock.largest(min(left, x - 1))
+        while x and tried < width and (steps > 0 or not found):
             if stock.count[x] > filling.count(x):
                 tried += 1
+                steps -= 1
                 if extend([*filling, x], left - x, x):
                     return True
             x = stock.largest(x - 1)
-        return False
+        if not tried:
+            found.append((left, filling))
+        return not tried and not left
 
     extend([], room, room)
-    kept = [(waste, f) for waste, f in sorted(found, key=lambda p: (p[0], len(p[1]))) if not _dominated(f, waste, stock)]
-    return [f for _, f in kept[:keep]] or [min(found, key=lambda p: p[0])[1] if found else []]
+    found.sort(key=lambda p: (p[0], len(p[1])))
+    return [f for waste, f in found if not _dominated(f, waste, stock)][:keep] or [found[0][1]]
 
 
 def complete(lengths, capacity: int, nodes_per_bin: float = 1.5, width: int = 5, keep: int = 3) -> list[list[int]]:
