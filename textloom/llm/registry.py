@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "packing", "mixing", "chat_format", "html_extract"]
+MODULES = ["exact_dedup", "packing", "mixing", "chat_format", "html_extract", "toxicity"]
 
 
 def _gather(name: str) -> dict:
