@@ -66,7 +66,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         import numpy as np
 
-        encode = per_worker(("tokenizer", path), lambda: load_tokenizer(path))
+        encode = per_worker("tokenizer", path, lambda: load_tokenizer(path))
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

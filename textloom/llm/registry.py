@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "packing", "mixing", "chat_format", "html_extract", "toxicity"]
+MODULES = ["exact_dedup", "packing", "mixing", "chat_format", "html_extract", "toxicity", "language_id", "fingerprints"]
 
 
 def _gather(name: str) -> dict:

@@ -83,11 +83,11 @@ class RepeatFilter:
         return df.select(*[F.col(f"`{c}`") for c in kept], (marks[0] & marks[1]).alias(name))
 
 
-def per_worker(key: tuple, make):
-    """What make() gives, made once in each Python worker and not once for each task."""
+def per_worker(kind: str, key: str, make):
+    """What make() gives, made once in each Python worker and not once for each task; of each kind, the last is held."""
     import sys
 
     held = sys.__dict__.setdefault("_held_by_worker", {})
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if kind not in held or held[kind][0] != key:
+        held[kind] = key, make()
+    return held[kind][1]
