@@ -19,7 +19,10 @@ TASK_ROWS, MOST_RANGES = 4_000, 10_000
 
 
 def syncmers(text: str):
-    """(places, hashes) of the closed syncmers of text, as arrays; hashes have 24 bits.
+    """(places, hashes) of the anchors of text in order, as arrays; hashes have 24 bits.
+
+    They are the closed syncmers of the text's scale. A text under 1.5 times the least length of its scale, which an edit
+    may take below it, has those of the next scale too.
 
     A text shorter than any scale has one anchor for the whole of it; an empty one has none. Whether a k-mer is chosen
     depends on it alone, so equal passages have equal anchors wherever they stand in texts of one scale.
@@ -31,26 +34,39 @@ def syncmers(text: str):
     n = len(text)
     if n < SCALES[-1][0]:
         return (np.zeros(n, np.int64), np.full(n, zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0xFFFFFF, np.uint32))
-    K, S = next((k, s) for least, k, s in SCALES if n >= least)  # noqa: N806
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    fit = next(k for k, (least, _, _) in enumerate(SCALES) if n >= least)
+    found = [closed_syncmers(points, *SCALES[fit][1:])]
+    if 2 * n < 3 * SCALES[fit][0] and fit + 1 < len(SCALES):
+        found.append(closed_syncmers(points, *SCALES[fit + 1][1:]))
+    places, hashes = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(places, kind="stable")
+    return places[order], hashes[order]
+
+
+def closed_syncmers(points, size: int, inner_size: int):
+    """(places, hashes) of the k-mers of `size` points whose least substring of inner_size lies at either edge."""
+    import numpy as np
+
+    n = len(points)
     odd, mix = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-    inner = np.zeros(n - S + 1, np.uint64)
-    for k in range(S):
+    inner = np.zeros(n - inner_size + 1, np.uint64)
+    for k in range(inner_size):
         inner *= odd
-        inner += points[k : n - S + 1 + k]
+        inner += points[k : n - inner_size + 1 + k]
     inner ^= inner >> np.uint64(31)
     inner *= mix
     inner ^= inner >> np.uint64(29)
-    window = K - S + 1
+    window = size - inner_size + 1
     least, span = inner, 1
     while span < window:
         step = min(span, window - span)
         least = np.minimum(least[: len(least) - step], least[step:])
         span += step
-    last = n - K + 1
-    places = np.flatnonzero((inner[:last] == least) | (inner[K - S : K - S + last] == least))
-    value = np.full(len(places), K, np.uint64)
-    for k in (*range(0, K - S, S), K - S):
+    last = n - size + 1
+    places = np.flatnonzero((inner[:last] == least) | (inner[size - inner_size : size - inner_size + last] == least))
+    value = np.full(len(places), size, np.uint64)
+    for k in (*range(0, size - inner_size, inner_size), size - inner_size):
         value = (value ^ inner[places + k]) * mix
         value ^= value >> np.uint64(32)
     return places, (value & np.uint64(0xFFFFFF)).astype(np.uint32)
