@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import RepeatFilter, ascii_lower, table, write_table
+from textloom.llm.shared import BloomFilter, ascii_lower, spread_groups, table, write_table
 
-#: Rows of one text that meet in one group at most, on average, before the group's own totals are summed.
-SALT_ROWS = 200_000
-MIN_SALTS = 64
 
-
-def _digests(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, RepeatFilter, int]:
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, BloomFilter, int]:
     """One row of a few dozen bytes for each document, read from the text once and written down."""
     digests = write_table(
         docs.select(F.col(id_col).alias("id"), F.sha2(ascii_lower(F.col(text_col)).cast("binary"), 256).alias("sha"), F.monotonically_increasing_id().alias("rid")),
         "digests",
     )
     rows = digests.count()
-    return digests, RepeatFilter(digests, "sha", rows), rows
+    return digests, BloomFilter(digests, "sha", rows), rows
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,15 +29,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     digests, repeats, rows = _digests(docs, id_col, text_col)
     marked = repeats.mark(digests, "sha")
-    once = marked.where(~F.col("maybe_repeated")).select(
+    once = marked.where(~F.col("maybe")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
-    salts = max(MIN_SALTS, rows // SALT_ROWS)
-    maybe = marked.where("maybe_repeated").select("id", "sha", "rid", F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int").alias("salt"))
-    parts = maybe.groupBy("sha", "salt").agg(F.max(F.struct("id", "rid")).alias("last"), F.count("*").alias("n"))
-    groups = parts.groupBy("sha").agg(F.max("last").alias("last"), F.sum("n").alias("group_size"))
-    spread = parts.select("sha", "salt").join(groups, "sha")
-    again = maybe.join(spread, ["sha", "salt"]).select(
+    maybe = marked.where("maybe").select("id", "sha", "rid", F.struct("id", "rid").alias("place"))
+    salted, spread, groups = spread_groups(maybe, ["sha"], "rid", {"last": (F.max, "place"), "group_size": (F.count, "rid")}, rows)
+    again = salted.join(spread.join(groups, "sha"), ["sha", "salt"]).select(
         "id", F.col("last.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("last.rid")).alias("kept"), "sha"
     )
     return once.unionByName(again).withColumnsRenamed({"id": id_col, "sha": "text_sha256"})

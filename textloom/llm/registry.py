@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["exact_dedup", "packing", "mixing", "chat_format", "html_extract", "toxicity", "language_id", "fingerprints", "licence_scan"]
+MODULES = ["exact_dedup", "packing", "mixing", "chat_format", "html_extract", "toxicity", "language_id", "fingerprints", "licence_scan", "jaccard_join"]
 
 
 def _gather(name: str) -> dict:

@@ -46,24 +46,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class RepeatFilter:
-    """A Bloom filter of the hashes that may occur more than once.
+class BloomFilter:
+    """A Bloom filter of the keys that may occur at least `least` times: twice to find repeats, once for membership.
 
-    Pass one counts, for two slots of each hash, how often a slot is hit (map tasks sum before the shuffle, so a
-    slot hit by a third of all rows costs one row a task) and sets the bits of slots hit at least twice. A hash
-    both of whose bits are set may be repeated; any other is unique for certain.
+    Pass one counts, for two slots of each key's hash, how often a slot is hit (map tasks sum before the shuffle, so
+    a slot hit by a third of all rows costs one row a task) and sets the bits of slots hit often enough. A key both
+    of whose bits are set may occur that often; any other does not for certain.
 
     The bits are rows of 4 KB; there are at most max_bits / 8 bytes of them, so broadcasting them is safe at
-    any size. Beyond max_bits / 16 hashes the filter lets more unique rows through to the exact stage after it.
+    any size. Beyond max_bits / 16 keys the filter lets more rows through to the exact stage that must follow it.
     """
 
     BLOCK = 32768
 
-    def __init__(self, hashes: DataFrame, key: str, rows: int, max_bits: int = 2**30):
+    def __init__(self, hashes: DataFrame, key: str, rows: int, least: int = 2, max_bits: int = 2**30):
         self.bits = min(max_bits, max(self.BLOCK, 1 << (16 * max(rows, 1) - 1).bit_length()))
         hits = hashes.select(F.explode(F.array(*self._slots(F.col(key)))).alias("slot")).groupBy("slot").agg(F.count("*").alias("hits"))
         self.table = (
-            hits.where("hits >= 2")
+            hits.where(F.col("hits") >= least)
             .groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("block"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("set_bits"))
         )
@@ -71,8 +71,8 @@ class RepeatFilter:
     def _slots(self, key: Column) -> tuple[Column, Column]:
         return F.pmod(F.xxhash64(key), F.lit(self.bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(self.bits))
 
-    def mark(self, df: DataFrame, key: str, name: str = "maybe_repeated") -> DataFrame:
-        """df with a boolean column: may the key occur more than once? No row is shuffled."""
+    def mark(self, df: DataFrame, key: str, name: str = "maybe") -> DataFrame:
+        """df with a boolean column: may the key be in the filter? No row is shuffled."""
         kept, marks = df.columns, []
         for k, slot in enumerate(self._slots(F.col(key))):
             part = self.table.select(F.col("block").alias(f"_block{k}"), F.col("set_bits").alias(f"_bits{k}"))
@@ -91,3 +91,17 @@ def per_worker(kind: str, key: str, make):
     if kind not in held or held[kind][0] != key:
         held[kind] = key, make()
     return held[kind][1]
+
+
+def spread_groups(rows: DataFrame, keys: list[str], by: str, totals: dict, n_rows: int, least_salts: int = 64, rows_a_salt: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Group totals that reach the rows of a group of any size: (rows with a salt, a row for each key and salt, groups).
+
+    Join the groups to the second table on keys, and that to the first on keys and salt: then a group that holds a
+    third of all rows is summed in parts and meets its total in as many tasks. totals: name to (aggregate, column).
+    """
+    salts = max(least_salts, n_rows // rows_a_salt)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    parts = salted.groupBy(*keys, "salt").agg(*[f(F.col(c)).alias(name) for name, (f, c) in totals.items()])
+    again = {name: F.sum if f in (F.count, F.sum) else f for name, (f, _) in totals.items()}
+    groups = parts.groupBy(*keys).agg(*[f(F.col(name)).alias(name) for name, f in again.items()])
+    return salted, parts.select(*keys, "salt"), groups
