@@ -1,8 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents that a text must pass on its way into training sequences.
 
-STAGES: list = []
+Each stage takes all that its predecessor kept and returns the columns of documents, but for the last, which returns
+the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textloom.llm.exact_dedup import drop_copies
+from textloom.llm.jaccard_join import one_of_each_component
+from textloom.llm.mixing import mixed_documents
+from textloom.llm.packing import pack_documents
+from textloom.llm.shared import write_table
+from textloom.llm.toxicity import fit, score_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are toxic less likely than not."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_toxicity(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    return scored.where("score < 0.5").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
+    return drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by Jaccard likeness, the one with the least id; documents without words all stay."""
+    return one_of_each_component(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as pieces of sequences of 2048 ids."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("source_mixing", mix),
+    ("best_fit_packing", pack),
+]
+#: Learned scores and a search for packings are beyond SQL; tests/llm compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, each written and read again in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -369,6 +369,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return linked.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs whose id is the least of their component, all columns kept; of rows repeated in id and text, one.
+
+    Rows without an id all stay, and so do texts without words. Rows in question are marked by a Bloom filter first;
+    only marked rows shuffle, the rest go straight to the output. Nulls and empty tables as in jaccard_components().
+    """
+    found = write_table(jaccard_components(docs, id_col, text_col, width, percent), "components")
+    known = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_found")).agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
+    asked = write_table(known.where("_found <> least or n > 1").select("_found", (F.col("_found") != F.col("least")).alias("_gone")), "asked")
+    marked = BloomFilter(asked, "_found", asked.count(), least=1).mark(docs.withColumn("_id", F.col(id_col).cast("long")), "_id", "_maybe")
+    asked_of = F.col("_maybe") & F.col("_id").isNotNull()
+    judged = marked.where(asked_of).join(asked, F.col("_id") == F.col("_found"), "left")
+    once = judged.where("_gone = false").dropDuplicates(["_id", text_col])
+    parts = [marked.where(~asked_of), judged.where("_gone is null"), once]
+    out = parts[0].select(*docs.columns)
+    for part in parts[1:]:
+        out = out.unionByName(part.select(*docs.columns))
+    return out
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
