@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Where identifiers are split, and what a word of prose is.
 CAMEL = "((?<!(^|[A-Z]))(?=[A-Z])|(?<!^)(?=[A-Z][a-z]))|_"
 LETTER = r"[@+\p{javaLetterOrDigit}]"
-JOINER = r"[-.:/'’\p{M}′ ‌‍~]"
+JOINER = r"[-.:/'\u2019\p{M}\u2032\u00A0\u200C\u200D~]"
 WORD = f"{LETTER}+({JOINER}+{LETTER}+)*"
 #: Names that say nothing of what a source is about.
 FAILURES = ("Throwable", "Error")
