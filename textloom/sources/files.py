@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import entry_signature, lines, method_signature, unix_lines
+from textloom.functions.text import entry_signature, lines, method_signature, unix_lines  # noqa: F401
 
 SOURCES = "source_id long, name string, content string"
 
