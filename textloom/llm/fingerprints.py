@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import table
+from textloom.llm.shared import slices, table
 
 #: For texts of at least so many code points: length of a k-mer, and of the inner substrings whose least hash must lie
 #: at an edge. 2 of K - S + 1 k-mers are chosen, and two neighbours lie at most K - S places apart. Shorter texts need
@@ -130,7 +130,7 @@ def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(*syncmers(t)) for t in texts], pa.string())], names=["id", "n_chars", "fingerprint"])
 
@@ -186,7 +186,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 column.append(value)
 
         closed = None  # the range whose borrowed rows have given the one that was needed
-        for batch in batches:
+        for batch in slices(batches):
             for id_, text, range_, is_own in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "range", "own"))):
                 if not is_own and closed == range_:
                     continue

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import table
+from textloom.llm.shared import slices, table
 
 #: Fixed values. Elements whose content is never text, elements that begin and end blocks, and elements that hold
 #: what stands around an article.
@@ -181,7 +181,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
     schema = pages.select(*[F.col(f"`{c}`") for c in keep]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, blocks, kept = [], [], []
             for html in batch.column(len(keep)):
                 text, n, k = extract_text(html.as_py())

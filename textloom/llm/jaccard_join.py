@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.components import connected_components
-from textloom.llm.shared import BloomFilter, per_worker, spread_groups, table, write_table
+from textloom.llm.shared import BloomFilter, per_worker, release_memory, slices, spread_groups, table, write_table
 
 WIDTH = 5
 PERCENT = 80
 #: Besides what a prefix must hold, this share of a set (percent) is looked at before a document is ruled out.
 EXTRA = 15
 #: Shingles that one task counts at once, on average; documents that one task compares with one another, on average.
-RANGE_TOKENS, CHUNK = 1_000_000, 256
+RANGE_TOKENS, CHUNK = 500_000, 256
 #: Orders of shingles whose least member brings similar documents together before the join.
 ORDERS = 3
-WORDS_HELD = 300_000
+WORDS_HELD = 150_000
 
 
 # Arithmetic of the threshold ---------------------------------------------------------------------------------------
@@ -80,7 +80,7 @@ def signature(tokens) -> bytes:
 
 
 def _held_shingler(width: int) -> Callable:
-    return per_worker("shingler", str(width), lambda: shingler(width))
+    return per_worker(f"shingler {width}", lambda: shingler(width))
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -88,7 +88,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _held_shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, sigs, heads = [], [], []
             for text in batch.column(1):
                 tokens = shingle(text.as_py())
@@ -108,7 +108,7 @@ def dealt_tokens(rows: DataFrame, owner: str, tokens: str, ranges: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches, 4_000):
             owners, parts = batch.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             if not parts:
                 continue
@@ -162,6 +162,7 @@ def classes_that_may_link(sets: DataFrame, groups: DataFrame, percent: int) -> D
 
         _, owners, often = _met(packed)
         found, n = np.unique(owners[often > 1], return_counts=True)
+        release_memory()
         return pa.table({"key": pa.array(found, pa.int64()), "shared": pa.array(n, pa.int64())})
 
     heads = sets.where("n > 0").select(F.xxhash64("sig").alias("key"), "head")
@@ -179,7 +180,7 @@ def whole_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _held_shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], []]
             for rep, text, sig in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 tokens = shingle(text.as_py())
@@ -209,6 +210,7 @@ def prefixes(whole: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(owners, kind="stable")
         found, first = np.unique(owners[order], return_index=True)
         ends = [*first[1:], len(order)]
+        release_memory()
         cut = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(first, ends)], pa.binary())
         return pa.table({"rep": pa.array(found, pa.int64()), "t": cut(tokens), "f": cut(often)})
 
@@ -220,7 +222,7 @@ def prefixes(whole: DataFrame, percent: int) -> DataFrame:
         import xxhash
 
         odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(ORDERS)]
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
             for rep, n, tokens, seen in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "tokens", "seen"))):
                 t = np.frombuffer(b"".join(x["t"] for x in seen), np.uint64)
@@ -331,7 +333,7 @@ def prefix_join(ordered: DataFrame, connected: DataFrame, percent: int) -> DataF
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches):
             kept = []
             for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)

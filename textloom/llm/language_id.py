@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import held_out, per_worker, table, write_table
+from textloom.llm.shared import held_out, per_worker, slices, table, write_table
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -41,7 +41,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids.distinct()), "_id").limit(most).repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 seen.setdefault(lang, Counter()).update(words_of(text))
@@ -62,7 +62,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class Scorer:
     """Log probabilities of words by language; remembers words up to a bound."""
 
-    def __init__(self, model: list[tuple[str, str, int]], most_words: int = 400_000):
+    def __init__(self, model: list[tuple[str, str, int]], most_words: int = 150_000):
         import numpy as np
 
         self.langs = sorted({lang for _, lang, _ in model})
@@ -138,8 +138,8 @@ def identify_language(docs: DataFrame, model: list[tuple[str, str, int]], id_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = per_worker("language", key, lambda: Scorer(held.value))
-        for batch in batches:
+        scorer = per_worker(f"language {key}", lambda: Scorer(held.value))
+        for batch in slices(batches):
             found = [scorer.predict(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["id", "lang_pred", "score"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.bin_completion import complete
-from textloom.llm.shared import per_worker, table, write_table
+from textloom.llm.shared import per_worker, slices, table, write_table
 
 CAPACITY = 2048
 END_ID = 0
@@ -66,8 +66,8 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         import numpy as np
 
-        encode = per_worker("tokenizer", path, lambda: load_tokenizer(path))
-        for batch in batches:
+        encode = per_worker(f"tokenizer {path}", lambda: load_tokenizer(path))
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), END_ID], "<u4")

@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.tables import write_table  # noqa: F401  the operators take it from here
+
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode, where all share a machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("textloom.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("textloom.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again: its lineage ends here and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone; plain ASCII takes the faster built-in, which does the same there."""
     text = F.coalesce(text, F.lit(""))
@@ -83,14 +67,15 @@ class BloomFilter:
         return df.select(*[F.col(f"`{c}`") for c in kept], (marks[0] & marks[1]).alias(name))
 
 
-def per_worker(kind: str, key: str, make):
-    """What make() gives, made once in each Python worker and not once for each task; of each kind, the last is held."""
+def per_worker(key: str, make):
+    """What make() gives, made once in each Python worker and not once for each task; only the last such thing is held."""
     import sys
 
     held = sys.__dict__.setdefault("_held_by_worker", {})
-    if kind not in held or held[kind][0] != key:
-        held[kind] = key, make()
-    return held[kind][1]
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
 
 
 def spread_groups(rows: DataFrame, keys: list[str], by: str, totals: dict, n_rows: int, least_salts: int = 64, rows_a_salt: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -105,3 +90,22 @@ def spread_groups(rows: DataFrame, keys: list[str], by: str, totals: dict, n_row
     again = {name: F.sum if f in (F.count, F.sum) else f for name, (f, _) in totals.items()}
     groups = parts.groupBy(*keys).agg(*[f(F.col(name)).alias(name) for name, f in again.items()])
     return salted, parts.select(*keys, "salt"), groups
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of so many rows, which bounds what is held beside a batch; frees the worker's memory at the end."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives memory that the allocators hold back to the system: workers live on from task to task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import held_out, table, write_table
+from textloom.llm.shared import held_out, slices, table, write_table
 
 #: Labelled documents that the classifier is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 8_000
@@ -48,7 +48,7 @@ def features_of(word: str) -> list[str]:
 class Lexicon:
     """Finds the feature of a word with the strongest tie to the label; on a tie the longest. Remembers words up to a bound."""
 
-    def __init__(self, ties: dict[str, float], most: int = 300_000):
+    def __init__(self, ties: dict[str, float], most: int = 100_000):
         self.ties, self.most, self.known = ties, most, {}
 
     def feature(self, word: str) -> str | None:
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        for batch in batches:
+        for batch in slices(batches):
             seen: dict[tuple[bytes, bool], list[str]] = {}
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 for _, sentence in sentences_of(text or ""):
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(ties)
-        for batch in batches:
+        for batch in slices(batches):
             marked, plain = [], []
             for text in batch.column("text").to_pylist():
                 sets = [[number[f] for f in lexicon.features(s)] for _, s in sentences_of(text or "")]
@@ -187,7 +187,7 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], float, dict[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(ties)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for text in batch.column(len(own)):
                 text = text.as_py() or ""
