@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.tables import write_table
+from textloom.tables import drop_tables, write_table
 
 NO_EDGE = 2147483647.0
 
@@ -141,5 +141,6 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
         kept = both.count()
         if kept == n:
             break
+        drop_tables(left)
         left, n = both, kept
     return left if n else left.limit(0)

@@ -23,4 +23,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: its lineage ends here and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes tables that write_table() gave, once all that was made of them is written itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
