@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import write_table
+from textloom.llm.shared import drop_tables, write_table
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,17 +23,20 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = None
     while labels is None or edges.where("a <> b").limit(1).count():
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        parents = write_table(ends.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("parent")), "parents")
+        hooked = write_table(ends.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("parent")), "hooked")
+        parents = hooked
         for _ in range(2):
             up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
             parents = parents.join(up, "parent").select("node", F.col("grand").alias("parent"))
         parents = write_table(parents, "parents")
         to = lambda c: parents.select(F.col("node").alias(c), F.col("parent").alias(f"{c}2"))
-        edges = write_table(edges.join(to("a"), "a").join(to("b"), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "links")
-        if labels is None:
-            labels = parents.withColumnRenamed("parent", "component")
-        else:
-            moved = labels.join(parents.select(F.col("node").alias("component"), "parent"), "component", "left")
-            labels = moved.select("node", F.coalesce("parent", "component").alias("component"))
-        labels = write_table(labels, "labels")
+        left = write_table(edges.join(to("a"), "a").join(to("b"), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "links")
+        moved = parents.withColumnRenamed("parent", "component")
+        if labels is not None:
+            met = labels.join(parents.select(F.col("node").alias("component"), "parent"), "component", "left")
+            moved = met.select("node", F.coalesce("parent", "component").alias("component"))
+        moved = write_table(moved, "labels")
+        drop_tables(edges, hooked, parents, *([labels] if labels is not None else []))
+        edges, labels = left, moved
+    drop_tables(edges)
     return labels

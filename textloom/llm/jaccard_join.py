@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.components import connected_components
-from textloom.llm.shared import BloomFilter, per_worker, release_memory, slices, spread_groups, table, write_table
+from textloom.llm.shared import BloomFilter, drop_tables, per_worker, release_memory, slices, spread_groups, table, write_table
 
 WIDTH = 5
 PERCENT = 80
@@ -142,6 +142,29 @@ def _met(packed: pa.Table):
     return tokens, owners, np.repeat(often, often)
 
 
+def _packed_by_bucket(owners, buckets: int, **columns) -> pa.Table:
+    """A row for each bucket of owners, with each column's values of the bucket in one binary.
+
+    One row for each owner would come to as many rows as owners times ranges; this way there are as many as buckets
+    times ranges, as few as blocks of a shuffle.
+    """
+    import numpy as np
+
+    of = (owners.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
+    order = np.argsort(of, kind="stable")
+    found, first = np.unique(of[order], return_index=True)
+    ends = [*first[1:], len(order)]
+    cut = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(first, ends)], pa.binary())
+    release_memory()
+    return pa.table({"bucket": pa.array(found, pa.int64()), "owners": cut(owners), **{name: cut(x) for name, x in columns.items()}})
+
+
+def _unpacked(packed: pa.Table, name: str, kind: str):
+    import numpy as np
+
+    return np.frombuffer(b"".join(packed.column(name).to_pylist()), kind)
+
+
 def n_ranges(tokens: int) -> int:
     return 1 << max(4, (tokens // RANGE_TOKENS).bit_length())
 
@@ -157,17 +180,25 @@ def classes_that_may_link(sets: DataFrame, groups: DataFrame, percent: int) -> D
     """
     total = sets.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0))).first()[0] // 8
 
+    buckets = n_ranges(total)
+
     def shared(packed: pa.Table) -> pa.Table:
         import numpy as np
 
         _, owners, often = _met(packed)
         found, n = np.unique(owners[often > 1], return_counts=True)
-        release_memory()
+        return _packed_by_bucket(found, buckets, counts=n.astype(np.int64))
+
+    def summed(packed: pa.Table) -> pa.Table:
+        import numpy as np
+
+        found, at = np.unique(_unpacked(packed, "owners", "i8"), return_inverse=True)
+        n = np.bincount(at, _unpacked(packed, "counts", "i8"), len(found)).astype(np.int64)
         return pa.table({"key": pa.array(found, pa.int64()), "shared": pa.array(n, pa.int64())})
 
     heads = sets.where("n > 0").select(F.xxhash64("sig").alias("key"), "head")
-    dealt = dealt_tokens(heads, "key", "head", n_ranges(total))
-    counts = dealt.groupBy("range").applyInArrow(shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    dealt = dealt_tokens(heads, "key", "head", buckets)
+    counts = dealt.groupBy("range").applyInArrow(shared, "bucket long, owners binary, counts binary").groupBy("bucket").applyInArrow(summed, "key long, shared long")
     least = F.expr(f"(n * {percent} + 99) div 100")
     wanted = F.greatest(F.lit(1), F.expr(f"least_ * {EXTRA} div 100"))
     return groups.where("rep is not null").withColumn("key", F.xxhash64("sig")).join(counts, "key").withColumn("least_", least).where(F.col("shared") >= wanted).select("rep", "sig", "n")
@@ -201,51 +232,59 @@ def prefixes(whole: DataFrame, percent: int) -> DataFrame:
     """
     total = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
+    buckets = n_ranges(total)
+
     def counted(packed: pa.Table) -> pa.Table:
         import numpy as np
 
         tokens, owners, often = _met(packed)
         several = often > 1
-        tokens, owners, often = tokens[several], owners[several], often[several].astype(np.int64)
-        order = np.argsort(owners, kind="stable")
-        found, first = np.unique(owners[order], return_index=True)
-        ends = [*first[1:], len(order)]
-        release_memory()
-        cut = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(first, ends)], pa.binary())
-        return pa.table({"rep": pa.array(found, pa.int64()), "t": cut(tokens), "f": cut(often)})
-
-    known = dealt_tokens(whole, "rep", "tokens", n_ranges(total)).groupBy("range").applyInArrow(counted, "rep long, t binary, f binary")
-    known = known.groupBy("rep").agg(F.collect_list(F.struct("t", "f")).alias("seen"))
+        return _packed_by_bucket(owners[several], buckets, tokens=tokens[several], often=often[several].astype(np.int64))
 
-    def order_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def order_sets(sets: pa.Table, seen: pa.Table) -> pa.Table:
         import numpy as np
         import xxhash
 
         odd = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(ORDERS)]
+        owners, tokens, often = (_unpacked(seen, c, kind) for c, kind in (("owners", "i8"), ("tokens", "u8"), ("often", "i8")))
+        order = np.lexsort((tokens, often, owners))
+        owners, tokens = owners[order], tokens[order]
+        found, first = np.unique(owners, return_index=True)
+        place = dict(zip(found.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(owners)])))
+        out: list[list] = [[] for _ in range(7)]
+        for rep, n, whole_ in zip(*(sets.column(c).to_pylist() for c in ("rep", "n", "tokens"))):
+            a, b = place.get(rep, (0, 0))
+            least = least_shared(n, percent)
+            if b - a < least:
+                continue
+            alone = n - (b - a)
+            prefix = tokens[a : a + n - least + 1 - alone]
+            values = np.frombuffer(whole_, np.uint64)
+            mins = []
+            for k in odd:
+                h = values * k
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+                mins.append(int(h.min().astype(np.int64)))
+            for column, value in zip(out, (rep, n, whole_, prefix.astype(np.int64).tolist(), alone, xxhash.xxh3_128_digest(prefix.tobytes()), mins)):
+                column.append(value)
+        release_memory()
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table({name: pa.array(c, k) for name, c, k in zip(("rep", "n", "tokens", "prefix", "start", "group_key", "mins"), out, kinds)})
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for batch in slices(batches):
-            out: list[list] = [[] for _ in range(7)]
-            for rep, n, tokens, seen in zip(*(batch.column(c).to_pylist() for c in ("rep", "n", "tokens", "seen"))):
-                t = np.frombuffer(b"".join(x["t"] for x in seen), np.uint64)
-                f = np.frombuffer(b"".join(x["f"] for x in seen), np.int64)
-                least = least_shared(n, percent)
-                if len(t) < least:
-                    continue
-                alone = n - len(t)
-                prefix = t[np.lexsort((t, f))][: n - least + 1 - alone]
-                whole_ = np.frombuffer(tokens, np.uint64)
-                mins = []
-                for k in odd:
-                    h = whole_ * k
-                    h ^= h >> np.uint64(29)
-                    h *= np.uint64(0xBF58476D1CE4E5B9)
-                    h ^= h >> np.uint64(32)
-                    mins.append(int(h.min().astype(np.int64)))
-                for column, value in zip(out, (rep, n, tokens, prefix.astype(np.int64).tolist(), alone, xxhash.xxh3_128_digest(prefix.tobytes()), mins)):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["rep", "n", "tokens", "prefix", "start", "group_key", "mins"])
-
-    return whole.join(known, "rep").select("rep", "n", "tokens", "seen").mapInArrow(order_sets, "rep long, n long, tokens binary, prefix array<long>, start long, group_key binary, mins array<long>")
+            reps = np.array(batch.column(0).to_pylist(), np.int64)
+            of = (reps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *batch.columns], names=["bucket", "rep", "n", "tokens"])
+
+    known = dealt_tokens(whole, "rep", "tokens", buckets).groupBy("range").applyInArrow(counted, "bucket long, owners binary, tokens binary, often binary")
+    dealt = whole.select("rep", "n", "tokens").mapInArrow(bucketed, "bucket long, rep long, n long, tokens binary")
+    schema = "rep long, n long, tokens binary, prefix array<long>, start long, group_key binary, mins array<long>"
+    return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(order_sets, schema)
 
 
 def overlap(a, b) -> int:
@@ -291,9 +330,10 @@ def near_links(ordered: DataFrame, percent: int) -> DataFrame:
     at pairs which are connected already, of which a large group of near copies has very many.
     """
     rows = ordered.select("rep", "tokens", F.posexplode("mins").alias("order", "least"))
-    sizes = rows.groupBy("order", "least").agg(F.count("*").alias("size")).where("size > 1")
+    salted, spread, sizes = spread_groups(rows, ["order", "least"], "rep", {"size": (F.count, "rep")}, ordered.count())
     chunk = F.pmod(F.xxhash64("rep", "order"), F.ceil(F.col("size") / CHUNK)).cast("int")
-    chunks = rows.join(sizes, ["order", "least"]).withColumn("chunk", chunk).repartition("order", "least", "chunk")
+    spread = spread.join(sizes.where("size > 1"), ["order", "least"])
+    chunks = salted.join(spread, ["order", "least", "salt"]).withColumn("chunk", chunk).repartition("order", "least", "chunk")
 
     def run(packed: pa.Table) -> pa.Table:
         found = links_within(packed, percent)
@@ -340,7 +380,9 @@ def prefix_join(ordered: DataFrame, connected: DataFrame, percent: int) -> DataF
                 kept.append(overlap(x, y) >= least_overlap(len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    links = write_table(pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "links")
+    drop_tables(members, rows, active, pairs)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -362,13 +404,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = write_table(classes_that_may_link(sets, groups, percent), "may-link")
     whole = write_table(whole_sets(docs, classes, id_col, text_col, width), "whole-sets")
     ordered = write_table(prefixes(whole, percent), "ordered")
+    drop_tables(classes, whole)
     near = write_table(near_links(ordered, percent), "near-links")
-    joined = prefix_join(ordered, connected_components(near), percent)
-    components = connected_components(near.unionByName(joined)).select(F.col("node").alias("rep"), "component")
-    least = spread.join(groups.join(components, "rep", "left").select("sig", "n", F.coalesce("component", "rep").alias("component")), ["sig", "n"])
+    first = connected_components(near)
+    joined = prefix_join(ordered, first, percent)
+    drop_tables(first, ordered)
+    components = connected_components(near.unionByName(joined))
+    drop_tables(near, joined)
+    of = components.select(F.col("node").alias("rep"), "component")
+    least = spread.join(groups.join(of, "rep", "left").select("sig", "n", F.coalesce("component", "rep").alias("component")), ["sig", "n"])
     linked = salted.join(least, ["sig", "n", "salt"]).select("id", "n", "component")
     empty = sets.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    return linked.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = write_table(linked.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
+    drop_tables(sets, groups, components)
+    return out
 
 
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -377,9 +426,10 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without an id all stay, and so do texts without words. Rows in question are marked by a Bloom filter first;
     only marked rows shuffle, the rest go straight to the output. Nulls and empty tables as in jaccard_components().
     """
-    found = write_table(jaccard_components(docs, id_col, text_col, width, percent), "components")
+    found = jaccard_components(docs, id_col, text_col, width, percent)
     known = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_found")).agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
     asked = write_table(known.where("_found <> least or n > 1").select("_found", (F.col("_found") != F.col("least")).alias("_gone")), "asked")
+    drop_tables(found)
     marked = BloomFilter(asked, "_found", asked.count(), least=1).mark(docs.withColumn("_id", F.col(id_col).cast("long")), "_id", "_maybe")
     asked_of = F.col("_maybe") & F.col("_id").isNotNull()
     judged = marked.where(asked_of).join(asked, F.col("_id") == F.col("_found"), "left")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.tables import write_table  # noqa: F401  the operators take it from here
+from textloom.tables import drop_tables, write_table  # noqa: F401  the operators take them from here
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,6 +92,24 @@ def spread_groups(rows: DataFrame, keys: list[str], by: str, totals: dict, n_row
     return salted, parts.select(*keys, "salt"), groups
 
 
+def least_hashes(ids: DataFrame, id_col: str, most: int) -> DataFrame:
+    """The rows of the `most` ids with the least hashes: a sample that does not depend on where rows lie.
+
+    Hashes above what half as many again would need are dropped first, so that few rows, and not `most` of every task,
+    meet where they are ordered.
+    """
+    share = min(1.0, 1.5 * most / max(1, ids.count()))
+    bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
+    return ids.where(F.xxhash64(id_col) <= F.lit(bound).cast("long")).orderBy(F.xxhash64(id_col), id_col).limit(most)
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers, of which repartition(n, column of them) sends the k-th to partition k: one group a task, none in two."""
+    ids = spark.range(n * (n.bit_length() + 8)).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("part"))
+    found = {r["part"]: r["id"] for r in ids.groupBy("part").agg(F.min("id").alias("id")).collect()}
+    return [found.get(k, -1 - k) for k in range(n)]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """Batches in parts of so many rows, which bounds what is held beside a batch; frees the worker's memory at the end."""
     for batch in batches:
