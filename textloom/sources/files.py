@@ -39,7 +39,7 @@ def file_sources(files: DataFrame) -> DataFrame:
     The name is the file's without its last extension; lines end in one line feed each but the last, which has none.
     """
     name = F.regexp_replace("file_name", r"\.[^.]*$", "")
-    content = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", "")
+    content = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), r"\n\z", "")
     return numbered(files.select(name.alias("name"), content.alias("content")))
 
 
