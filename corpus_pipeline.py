@@ -12,7 +12,7 @@ from textloom.llm.exact_dedup import drop_copies
 from textloom.llm.jaccard_join import one_of_each_component
 from textloom.llm.mixing import mixed_documents
 from textloom.llm.packing import pack_documents
-from textloom.llm.shared import write_table
+from textloom.llm.shared import drop_tables, write_table
 from textloom.llm.toxicity import fit, score_toxicity
 
 
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_tables(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

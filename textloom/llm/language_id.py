@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import held_out, per_worker, slices, table, write_table
+from textloom.llm.shared import drop_tables, held_out, least_hashes, per_worker, slices, table, write_table
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -37,7 +37,7 @@ def grams_of(word: str, n: int) -> list[str]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS, entries: int = MODEL_ENTRIES) -> list[tuple[str, str, int]]:
     """(entry, language, count): entries are words after "=" and n-grams after their length. Held-out documents are not read."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    ids = known.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    ids = least_hashes(known.select(F.col(id_col).alias("_id")), "_id", most)
     chosen = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids.distinct()), "_id").limit(most).repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +56,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     counts = write_table(chosen.mapInArrow(count, "entry string, lang string, n long").groupBy("entry", "lang").agg(F.sum("n").alias("n")), "language-counts")
     kept = counts.where("n >= 2").orderBy(F.desc("n"), "entry", "lang").limit(entries)
-    return [tuple(r) for r in kept.collect()]
+    model = [tuple(r) for r in kept.collect()]
+    drop_tables(counts)
+    return model
 
 
 class Scorer:

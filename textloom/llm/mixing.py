@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import WORD, table, write_table
+from textloom.llm.shared import WORD, drop_tables, table, write_table
 
 #: Fixed values of the contract: weights of sources in order of their names, and copies of a document at most.
 WEIGHTS = (5, 2, 1)
@@ -70,7 +70,7 @@ def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFra
     only the range that crosses the target is ordered row by row.
     """
     ranges = 1 << max(4, math.ceil(math.log2(max(1, rows.count())) / 2))
-    plan = write_table(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    plan = targets = write_table(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     near = F.broadcast if plan.count() <= BROADCAST_SOURCES else (lambda df: df)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.withColumn("copies", F.floor(ratio)).withColumn("share", ratio - F.floor(ratio)).withColumnRenamed("source", "_source")
@@ -88,7 +88,9 @@ def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFra
     nearer = F.abs(F.col("now") - F.col("wanted")) <= F.abs(F.col("now") - F.col("size") - F.col("wanted"))
     cuts = run.groupBy(F.col("_source").alias("_crossed")).agg(F.first("cross").alias("cross"), F.max(F.when(nearer, F.struct("_key", "size"))).alias("cut"))
     full = plan.join(cuts, F.col("_source").eqNullSafe(F.col("_crossed")), "left").drop("_crossed", "wanted")
-    return near(write_table(full, "mix")), ranges
+    mix = write_table(full, "mix")
+    drop_tables(targets)
+    return near(mix), ranges
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -112,6 +114,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself: each row of docs as often as mix_sources() takes it, with the columns of docs."""
     rows = write_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
     plan, ranges = _plan(rows, weights, most)
+    drop_tables(rows)
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("_size", n_words(F.col(f"_row.`{text_col}`"))).withColumn("_of", F.col(f"_row.`{source_col}`"))
     decided = _decide(sized, F.col(f"_row.`{id_col}`"), "_size", plan, "_of", ranges)
     copies = F.sequence(F.lit(1).cast("long"), F.col("n_copies"))

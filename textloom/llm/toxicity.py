@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import held_out, slices, table, write_table
+from textloom.llm.shared import drop_tables, held_out, least_hashes, slices, table, write_table
 
 #: Labelled documents that the classifier is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 8_000
@@ -80,7 +80,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """doc text and label of at most `most` labelled documents outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    chosen = least_hashes(known, "_id", most)
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "label")
 
 
@@ -93,8 +93,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     import numpy as np
 
-    sample = write_table(training_rows(docs, labels, id_col, text_col, most), "toxicity-sample").orderBy(F.xxhash64("_id"), "_id").limit(most)
-    sample = write_table(sample.repartition(16, "_id"), "toxicity-train")
+    found = write_table(training_rows(docs, labels, id_col, text_col, most), "toxicity-sample")
+    sample = write_table(found.orderBy(F.xxhash64("_id"), "_id").limit(most).repartition(16, "_id"), "toxicity-train")
+    drop_tables(found)
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -136,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         differs = sum(2 * x * np.log(x / (r["has"] * p)) for x, p in ((r["toxic"], expected), (r["clean"], 1 - expected)) if x)
         if differs >= LEAST_DIFFERENCE:
             rate[r["word"]], ties[r["word"]] = (r["toxic"] + PRIOR * share) / (r["has"] + PRIOR), np.inf
+    drop_tables(once, seen)
     words = sorted(rate)
     start = np.array([rate[w] for w in words])
     number = {w: k for k, w in enumerate(words)}
@@ -151,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("label"), pa.array(marked, pa.list_(pa.list_(pa.int32()))), pa.array(plain, pa.int64())], names=["id", "label", "marked", "plain"])
 
     rows = sorted(sample.mapInArrow(instances, "id string, label int, marked array<array<int>>, plain long").collect(), key=lambda r: (r["id"], r["marked"]))
+    drop_tables(sample)
     label = np.array([r["label"] > 0 for r in rows], float)
     plain = np.array([r["plain"] for r in rows], float)
     sentence_doc = np.array([d for d, r in enumerate(rows) for _ in r["marked"]], int)
