@@ -14,7 +14,7 @@ from textloom.llm.shared import per_worker, slices, table, write_table
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that are packed together. Each such bucket leaves at most about one sequence part empty.
-BUCKET_PIECES = 4096
+BUCKET_PIECES = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Code points below this have had their Unicode classes for so long that both tokenizer libraries split alike.
 COMMON = 0x250
