@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import slices, table
+from textloom.llm.shared import even_keys, slices, table
 
 #: For texts of at least so many code points: length of a k-mer, and of the inner substrings whose least hash must lie
 #: at an edge. 2 of K - S + 1 k-mers are chosen, and two neighbours lie at most K - S places apart. Shorter texts need
@@ -168,7 +168,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is_first, to = of_range(firsts).cast("long").eqNullSafe(F.col("id")), of_range(before).cast("int")
     own = F.struct(F.col("range").alias("range"), F.lit(True).alias("own"))
     dealt = ranged.select("id", "text", F.explode(F.when(is_first, F.array(own, F.struct(to.alias("range"), F.lit(False).alias("own")))).otherwise(F.array(own))).alias("to"))
-    dealt = dealt.select("id", "text", "to.*").repartition(max(1, len(order)), "range").sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("id"), "text")
+    # Every range goes to a task of its own: dealt by hash of its number, some tasks would get several and some none.
+    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(docs.sparkSession, len(cuts) + 1)])
+    dealt = dealt.select("id", "text", "to.*").repartition(len(cuts) + 1, F.element_at(keys, F.col("range") + 1)).sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
