@@ -9,6 +9,7 @@ from textloom.functions.text import identifier_parts, is_identifier_of_interest,
 from textloom.operators.counting import document_frequency, most_frequent, top_of_each
 from textloom.operators.segmentation import irrelevant_locations, names, outside, parse_sources
 from textloom.operators.spelling import accepted, correct
+from textloom.tables import write_table
 
 
 def tokens(named: DataFrame, dictionary: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
@@ -20,6 +21,8 @@ def tokens(named: DataFrame, dictionary: DataFrame | None = None, spans: DataFra
     kept = kept.where(is_identifier_of_interest(F.col("name")))
     pieces = kept.select("source_id", "pos", F.posexplode(identifier_parts(F.col("name"))).alias("part", "label")).withColumn("word", F.lower("label"))
     if dictionary is not None:
+        pieces = write_table(pieces, "pieces")
+        dictionary = write_table(dictionary, "dictionary")
         fixed = correct(pieces.select("word"), dictionary)
         known = dictionary.select("word", F.lit(True).alias("known"))
         met = pieces.join(fixed, "word", "left").join(known, "word", "left")
@@ -30,7 +33,7 @@ def tokens(named: DataFrame, dictionary: DataFrame | None = None, spans: DataFra
 
 def source_concepts(sources: DataFrame, dictionary: DataFrame | None = None, relevant: list[str] | None = None, k: int = 10, compat: bool = True) -> DataFrame:
     """source_id, word, n, rank: the k most frequent words of each source; none of a source without the method asked for."""
-    parsed = parse_sources(sources, relevant, compat)
+    parsed = write_table(parse_sources(sources, relevant, compat).select("source_id", "names", "segments"), "parsed")  # no source is parsed twice
     return top_of_each(tokens(names(parsed), dictionary, irrelevant_locations(parsed)), k)
 
 

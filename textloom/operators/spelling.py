@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.similarity import similarity
 from textloom.functions.stop_words import is_stop_word
 from textloom.functions.text import identifier_parts, is_number, only_consonants
+from textloom.tables import spread, write_table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: A correction is taken if it is more like the word than this (32 bits, as the likeness is).
@@ -17,10 +18,11 @@ LEAST_LIKENESS = 0.3
 def build_dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """word, freq: pieces of the words of texts, longer than two, with a lower-case vowel, neither numbers nor stop words."""
     found = texts.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\w+"), F.lit(0))).alias("name"))
-    pieces = found.select(F.explode(identifier_parts(F.col("name"))).alias("piece"))
+    names = found.groupBy("name").agg(F.count("*").alias("n"))  # each different name is split once
+    pieces = names.select("n", F.explode(identifier_parts(F.col("name"))).alias("piece"))
     piece = F.col("piece")
     kept = pieces.where((F.length(piece) > 2) & ~only_consonants(piece) & ~is_number(piece) & ~is_stop_word(piece))
-    return kept.groupBy(F.lower(piece).alias("word")).agg(F.count("*").cast("long").alias("freq"))
+    return kept.groupBy(F.lower(piece).alias("word")).agg(F.sum("n").cast("long").alias("freq"))
 
 
 def in_dictionary(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def _best(order: str | None = None) -> Column:
 
 def known_mutations(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """word, candidate, freq, place: the mutations of each word that are in the dictionary."""
-    made = words.select("word", F.posexplode(mutations(F.col("word"))).alias("place", "candidate"))
+    made = spread(words.select("word"), "word").select("word", F.posexplode(mutations(F.col("word"))).alias("place", "candidate"))
     first = made.groupBy("word", "candidate").agg(F.min("place").alias("place"))
     return first.join(dictionary.withColumnRenamed("word", "candidate"), "candidate")
 
@@ -85,9 +87,9 @@ def two_edits(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     No candidate is generated that is not in the dictionary: a word has some hundred shortened forms, but some hundred
     thousand mutations of mutations.
     """
-    left = words.select("word", F.explode(_shortened(F.col("word"))).alias("form"))
+    left = spread(words.select("word"), "word").select("word", F.explode(_shortened(F.col("word"))).alias("form"))
     right = dictionary.select(F.col("word").alias("candidate"), "freq", F.explode(_shortened(F.col("word"))).alias("form"))
-    return left.join(right, "form").select("word", "candidate", "freq").distinct().where(within_two(F.col("word"), F.col("candidate")))
+    return left.join(right, "form").select("word", "candidate", "freq").distinct().transform(lambda df: spread(df, "word", "candidate")).where(within_two(F.col("word"), F.col("candidate")))
 
 
 def best_by_prefix(dictionary: DataFrame) -> DataFrame:
@@ -98,11 +100,10 @@ def best_by_prefix(dictionary: DataFrame) -> DataFrame:
 
 def prefix_correction(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """word, candidate: the most frequent word that begins with the word, else with all but its last letter, else null."""
-    best = best_by_prefix(dictionary)
     shorter = F.substr(F.col("word"), F.lit(1), F.greatest(F.length("word") - 1, F.lit(0)))
-    one = best.select(F.col("prefix").alias("word"), F.col("candidate").alias("whole"))
-    two = best.select(F.col("prefix").alias("shorter"), F.col("candidate").alias("but_last"))
-    return words.withColumn("shorter", shorter).join(one, "word", "left").join(two, "shorter", "left").select("word", F.coalesce("whole", "but_last").alias("candidate"))
+    asked = words.select("word", F.explode(F.array(F.struct(F.lit(0).alias("order"), F.col("word").alias("prefix")), F.struct(F.lit(1).alias("order"), shorter.alias("prefix")))).alias("a")).select("word", "a.*")
+    met = asked.join(best_by_prefix(dictionary), "prefix", "left")
+    return met.groupBy("word").agg(F.min_by("candidate", F.when(F.col("candidate").isNotNull(), F.col("order"))).alias("candidate"))
 
 
 def correct(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -112,6 +113,7 @@ def correct(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     up to two edits away, and by prefix. Any other becomes the most frequent word by prefix. Without a candidate it stays.
     """
     asked = words.select("word").where("word is not null").distinct()
+    dictionary = write_table(dictionary.select("word", "freq"), "dictionary")  # looked into from four sides
     unknown = asked.join(dictionary.select("word"), "word", "left_anti")
     by_prefix = prefix_correction(unknown, dictionary)
     odd = unknown.where(only_consonants(F.col("word")))

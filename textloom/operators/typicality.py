@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.similarity import bandwidths, gaussian_kernel, similarity
-from textloom.tables import write_table
+from textloom.tables import spread, write_table
 
 BANDWIDTH = 0.3
 TYPICAL = 5
 #: Sources of one block: a task compares the sources of two blocks.
-BLOCK_ROWS = 64
+BLOCK_ROWS = 24
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ def pair_scores(features: DataFrame, score: Callable[[Column, Column], Column] =
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = rows.select(F.col("source_id").alias("i"), F.col("data").alias("a"), F.col("block").alias("p"), F.explode(F.filter(others, lambda k: k >= F.col("block"))).alias("q"))
     right = rows.select(F.col("source_id").alias("j"), F.col("data").alias("b"), F.col("block").alias("q"), F.explode(F.filter(others, lambda k: k <= F.col("block"))).alias("p"))
-    met = left.join(right, ["p", "q"]).where((F.col("p") < F.col("q")) | (F.col("i") < F.col("j")))
+    met = spread(left, "p", "q").join(spread(right, "p", "q"), ["p", "q"]).where((F.col("p") < F.col("q")) | (F.col("i") < F.col("j")))
     return met.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), score(F.col("a"), F.col("b")).alias("score"))
 
 

@@ -11,6 +11,7 @@ from textloom.functions import text as tx
 from textloom.functions.stop_words import in_any_list, stop_list, stop_words
 from textloom.operators import concepts, counting, graph, segmentation, spelling, typicality
 from textloom.sources import files
+from textloom.tables import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -441,7 +442,8 @@ def _java(spark, sf_dir):
         "    }\n    try {\n      total += result;\n    } catch (IllegalStateException e) {\n      throw e;\n    }\n    return result;\n  }\n\n  private int measure%1$s(int value) {\n    return value + %2$s;\n  }\n}\n",
         name, F.col("p_size").cast("string"),
     )
-    return _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("source_id"), name.alias("name"), body.alias("content"))
+    # A part is a few bytes, the source made of it is parsed: the scan's one task would do all of it.
+    return spread(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").select(F.col("p_partkey").cast("long").alias("source_id"), name.alias("name"), body.alias("content"))
 
 
 @query()
