@@ -44,6 +44,26 @@ def test_main_text(html, text):
     assert extract_text(html)[0] == text
 
 
+POLISH = "Kiedy wieczorem przyszedł do domu, wszyscy czekali już przy stole, bo nikt nie wiedział, gdzie był przez cały dzień."
+NAV, FOOT = "<nav><a href=/>Home</a></nav>", "<footer>&copy; x</footer>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<html class='js no-search'><body class=\"has-sidebar\">{NAV}<article><p>{STORY}</p></article>{FOOT}</body></html>", STORY),
+        (page(f"{NAV}<div id='content-sidebar-wrap'><article><p>{STORY}</p></article><div class=sidebar><p>{MORE}</p></div></div>"), STORY),
+        (page(f"{NAV}<div class='no-sidebar'><p>{STORY}</p><p>{MORE}</p></div><div class='widget'><p>{MORE}</p></div>"), f"{STORY} {MORE}"),
+        (page(f"<form id=f>{NAV}<div class=x><p>{STORY}</p></div>{FOOT}</form>"), STORY),
+        (page(f"<article><p>{STORY}</p><p>{MORE}</p></article><div class=related><article><p>Card.</p></article></div>"), f"{STORY} {MORE}"),
+        (page(f"{NAV}<div><h1>Closed</h1><p>Back on Monday.</p></div>{FOOT}"), "Closed Back on Monday."),
+        (page(f"{NAV}<div><p>{POLISH}</p><p>{POLISH}</p></div><div class=ad>Kup</div>{FOOT}"), f"{POLISH} {POLISH}"),
+    ],
+)
+def test_wrappers_short_pages_and_other_languages_keep_their_text(html, text):
+    assert extract_text(html)[0] == text
+
+
 def test_pages(spark):
     rows = [(1, "u", page(f"<article><p>{STORY}</p></article>")), (1, "u", page(f"<article><p>{STORY}</p></article>")), (None, None, None), (2, "v", "x" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(0))

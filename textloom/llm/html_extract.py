@@ -19,7 +19,7 @@ BLOCKS = (
 ).split()
 AROUND = "nav footer aside form menu header dialog".split()
 ARTICLE = "article main".split()
-#: A block inside an element with one of these words in its class, id or role stands around the article.
+#: A block inside a small element with one of these words in its class, id or role stands around the article.
 AROUND_WORDS = (
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer header login menu modal "
     "nav navbar navigation newsletter notice pager pagination popup promo promoted promotion reader related reply replies respond search share sharing sidebar signup skip social "
@@ -36,6 +36,9 @@ STOP_WORDS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What one of AROUND_WORDS says of an element holds if the element has at most this share of the page's text: all of a
+#: class name (`comments`, `cookie-notice`), or a part of one (`has-sidebar`, `content-sidebar-wrap`), or a form.
+MOST_NAMED, MOST_PARTLY_NAMED = 0.9, 0.5
 #: First pass: a block with a larger share of linked characters is bad; one of at least LONG characters with a share
 #: of stop words of at least DENSE is good, of at most SPARSE bad; shorter ones and the rest stay open.
 MOST_LINKED = 0.5
@@ -49,18 +52,19 @@ def blocks_of(html: str) -> list[dict]:
 
     token = per_page_tokens()
     word = re.compile(r"[a-z]+|[0-9]+")
-    stack: list[tuple[str, bool, bool]] = []  # name, around, article
+    #: Elements: parent, name, article, stands around by its name, largest share of the text at which it stands around.
+    elements: list[tuple[int, str, bool, bool, float]] = []
+    stack: list[tuple[str, int]] = []  # name, element
     found: list[dict] = []
     pieces: list[tuple[str, bool]] = []
-    links = at = 0
-    article = around = 0
+    links = at = article = 0
 
     def close_block() -> None:
         if pieces:
             text = " ".join(unescape("".join(p for p, _ in pieces)).split())
             if text:
                 linked = len(" ".join(unescape("".join(p for p, is_link in pieces if is_link)).split()))
-                found.append({"text": text, "linked": linked, "around": around > 0, "article": article > 0, "heading": bool(stack) and stack[-1][0] in HEADINGS})
+                found.append({"text": text, "linked": linked, "article": article > 0, "heading": bool(stack) and stack[-1][0] in HEADINGS, "element": stack[-1][1] if stack else -1})
             pieces.clear()
 
     for m in token.finditer(html):
@@ -78,31 +82,70 @@ def blocks_of(html: str) -> list[dict]:
                 links = max(0, links - 1)
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, was_around, was_article in stack[k:]:
-                        around -= was_around
-                        article -= was_article
+                    article -= sum(elements[e][2] for _, e in stack[k:])
                     del stack[k:]
                     break
         elif name == "a":
             links = 1
         elif name in BLOCKS and name not in VOID:
             if name == "p" and stack and stack[-1][0] == "p":
-                _, was_around, was_article = stack.pop()
-                around -= was_around
-                article -= was_article
-            marks = " ".join(v for kv in ATTRIBUTE.findall(m.group("attrs")) for v in kv[1:]).lower() if m.group("attrs").strip() else ""
+                stack.pop()
+            marks = [v for kv in ATTRIBUTE.findall(m.group("attrs")) for x in kv[1:] for v in x.lower().split()] if m.group("attrs").strip() else []
             is_article = name in ARTICLE
-            is_around = (name in AROUND and not (name == "header" and article)) or any(w in AROUND_WORDS and not (w == "header" and article) for w in word.findall(marks))
-            is_around = is_around and not is_article
-            stack.append((name, is_around, is_article))
-            around += is_around
+            named, share = False, 0.0
+            if not is_article and name not in ("html", "body"):
+                named = name in AROUND and name != "form" and not (name == "header" and article)
+                share = MOST_PARTLY_NAMED if name == "form" else 0.0
+                for words in map(word.findall, marks):
+                    said = [w in AROUND_WORDS and not (w == "header" and article) for w in words]
+                    if any(said):
+                        share = max(share, MOST_NAMED if all(said) else MOST_PARTLY_NAMED)
+            elements.append((stack[-1][1] if stack else -1, name, is_article, named, share))
+            stack.append((name, len(elements) - 1))
             article += is_article
     if at < len(html):
         pieces.append((html[at:], links > 0))
     close_block()
+    around = around_elements(elements, found)
+    for b in found:
+        e = b.pop("element")
+        b["around"] = e >= 0 and around[e]
     return found
 
 
+def around_elements(elements: list[tuple[int, str, bool, bool, float]], blocks: list[dict]) -> list[bool]:
+    """Which elements stand around the article, or lie in one that does.
+
+    Some say so by their name. Class words say so of an element with a small part of the page's text; a wrapper of an
+    article (but for cards, less than half as long as the longest one) stands around nothing.
+    """
+    named: list[bool] = []  # also by inheritance
+    for parent, _, _, by_name, _ in elements:
+        named.append(by_name or (parent >= 0 and named[parent]))
+    chars = [0] * len(elements)
+    total = 0
+    for b in blocks:
+        e = b["element"]
+        own = 0 if e >= 0 and named[e] else max(0, len(b["text"]) - b["linked"])
+        total += own
+        if e >= 0:
+            chars[e] += own
+    for e in range(len(elements) - 1, -1, -1):
+        if elements[e][0] >= 0:
+            chars[elements[e][0]] += chars[e]
+    longest = max((n for n, x in zip(chars, elements) if x[2]), default=0)
+    wraps = [False] * len(elements)
+    for e in range(len(elements) - 1, -1, -1):
+        parent, _, is_article, _, _ = elements[e]
+        if parent >= 0 and (wraps[e] or (is_article and 2 * chars[e] >= longest > 0)):
+            wraps[parent] = True
+    out: list[bool] = []
+    for e, (parent, _, _, by_name, share) in enumerate(elements):
+        by_words = share > 0 and not wraps[e] and chars[e] <= share * total
+        out.append(by_name or by_words or (parent >= 0 and out[parent]))
+    return out
+
+
 def _attribute():
     import re
 
@@ -130,7 +173,8 @@ def main_blocks(blocks: list[dict]) -> list[bool]:
     First pass: blocks that stand around the article or are mostly links are bad; long blocks are good or bad by their
     share of stop words. Second pass: the other blocks take the label of the nearest decided block on their side of the
     article's bounds, on a tie the earlier one, or for a heading the later. If a page has an article element, nothing
-    outside it is main text; without any decided neighbour a block is good inside an article and bad elsewhere.
+    outside it is main text; without any decided neighbour a block is good inside an article and bad elsewhere. If that
+    leaves no block (short pages, other languages), those that neither stand around nor are mostly links are good.
     """
     has_article = any(b["article"] and not b["around"] for b in blocks)
     labels: list[bool | None] = []
@@ -161,6 +205,8 @@ def main_blocks(blocks: list[dict]) -> list[bool]:
                 out[k] = labels[min(near, key=lambda j: (abs(j - k), -j if blocks[k]["heading"] else j))] if near else inside
             if usable[k] and blocks[k]["article"] == inside:
                 nxt = k
+    if not any(out):
+        return [not b["around"] and b["linked"] <= MOST_LINKED * len(b["text"]) for b in blocks]
     return [bool(x) for x in out]
 
 
