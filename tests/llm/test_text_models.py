@@ -64,6 +64,26 @@ def test_wrappers_short_pages_and_other_languages_keep_their_text(html, text):
     assert extract_text(html)[0] == text
 
 
+LIST = "Alpha 3000, Beta 4000, Gamma 5000, Delta 6000, Epsilon 7000, Zeta 8000, Eta 9000, Theta 10000"
+CARD = "<article class=card><h3><a href=/1>Other story of today</a></h3></article>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (page(f"{NAV}<div><p>{STORY}</p><p>So.</p><p>{MORE}</p></div>{CARD}<article><p>Teaser.</p></article>{FOOT}"), f"{STORY} So. {MORE} Teaser."),
+        (page(f"{NAV}<article><p>{STORY}</p></article><div><p>{MORE}</p><p>So.</p><p>{STORY}</p></div>{FOOT}"), f"{STORY} {MORE} So. {STORY}"),
+        (page(f"<div>Tagline</div><article><p>{STORY}</p><p>{LIST}</p><p>Short.</p></article><div><p>{LIST}</p></div>"), f"{STORY} {LIST} Short."),
+        (page(f"<article><p>{STORY}</p><p>{LIST[:60]}<a href=/x>{LIST[60:]}</a></p></article>"), STORY),
+        (page(f"<article><p>{STORY}</p><p><a href=/a>One</a></p><p>Topics</p><p><a href=/b>Two</a></p></article>"), STORY),
+        (page(f"<article><p>{POLISH}</p><p>Tak.</p><ul><li><a href=/a>Raz</a></li></ul></article><div><p>{POLISH[:80]}</p></div>"), f"{POLISH} Tak."),
+        (page(f"{NAV}<div><p>{POLISH}</p><p>{STORY[:72]}</p><p>{POLISH}</p></div>{CARD}"), f"{POLISH} {STORY[:72]} {POLISH}"),
+    ],
+)
+def test_an_article_element_speaks_for_its_blocks_but_does_not_decide(html, text):
+    assert extract_text(html)[0] == " ".join(text.split())
+
+
 def test_pages(spark):
     rows = [(1, "u", page(f"<article><p>{STORY}</p></article>")), (1, "u", page(f"<article><p>{STORY}</p></article>")), (None, None, None), (2, "v", "x" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(0))

@@ -40,8 +40,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: class name (`comments`, `cookie-notice`), or a part of one (`has-sidebar`, `content-sidebar-wrap`), or a form.
 MOST_NAMED, MOST_PARTLY_NAMED = 0.9, 0.5
 #: First pass: a block with a larger share of linked characters is bad; one of at least LONG characters with a share
-#: of stop words of at least DENSE is good, of at most SPARSE bad; shorter ones and the rest stay open.
-MOST_LINKED = 0.5
+#: of stop words of at least DENSE is good, of at most SPARSE bad (in an article, if its share of links is over PARTLY_LINKED);
+#: shorter ones and the rest stay open.
+MOST_LINKED, PARTLY_LINKED = 0.5, 0.25
 LONG, DENSE, SPARSE = 70, 0.08, 0.0
 
 
@@ -170,43 +171,67 @@ def per_page_tokens():
 def main_blocks(blocks: list[dict]) -> list[bool]:
     """Which blocks are of the main text.
 
-    First pass: blocks that stand around the article or are mostly links are bad; long blocks are good or bad by their
-    share of stop words. Second pass: the other blocks take the label of the nearest decided block on their side of the
-    article's bounds, on a tie the earlier one, or for a heading the later. If a page has an article element, nothing
-    outside it is main text; without any decided neighbour a block is good inside an article and bad elsewhere. If that
-    leaves no block (short pages, other languages), those that neither stand around nor are mostly links are good.
+    First pass: blocks that stand around the article or are mostly links are bad, dense long blocks good wherever they
+    are. Of the other long blocks, sparse ones are bad, but for two things. Where most of the long text is not dense, the
+    page is in another language, and long blocks are good. To lie in an article element speaks for a block, and to lie
+    outside of one that holds more than the long text outside speaks against it: inside, sparse blocks are bad only if
+    they are also partly links, else open; outside, nothing but density makes a block good.
+
+    Second pass: open blocks take the label of the nearest decided block on their side of the article's bounds, on a tie
+    the earlier one, or for a heading the later; without one they are bad. Those inside are good, unless they have no
+    stop word and lie between bad ones. If all that leaves no block (short pages), those that neither stand around nor
+    are mostly links are good.
     """
-    has_article = any(b["article"] and not b["around"] for b in blocks)
-    labels: list[bool | None] = []
+    measured = []
+    inside = outside = dense_chars = thin_chars = 0
     for b in blocks:
-        words = b["text"].lower().split()
+        n, words = len(b["text"]), b["text"].lower().split()
         dense = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / max(1, len(words))
-        if b["around"] or (has_article and not b["article"]) or b["linked"] > MOST_LINKED * len(b["text"]):
+        bad = b["around"] or b["linked"] > MOST_LINKED * n
+        measured.append((bad, n >= LONG, dense))
+        if not bad:
+            inside += n if b["article"] else 0
+            if n >= LONG:
+                outside += 0 if b["article"] else n
+                dense_chars += n if dense >= DENSE else 0
+                thin_chars += n if dense < DENSE else 0
+    foreign = thin_chars > dense_chars
+    against = inside >= outside and any(b["article"] and not b["around"] for b in blocks)
+    labels: list[bool | None] = []
+    for b, (bad, is_long, dense) in zip(blocks, measured):
+        if bad:
             labels.append(False)
-        elif len(b["text"]) >= LONG and dense >= DENSE:
+        elif is_long and dense >= DENSE:
             labels.append(True)
-        elif len(b["text"]) >= LONG and dense <= SPARSE and not b["article"]:
+        elif not is_long:
+            labels.append(None)
+        elif foreign:
+            labels.append(True if b["article"] or not against else None)
+        elif dense <= SPARSE and (not b["article"] or b["linked"] > PARTLY_LINKED * len(b["text"])):
             labels.append(False)
         else:
             labels.append(None)
     # The nearest decided block on either side; inside an article, only blocks that could belong to it count.
-    usable = [x is not None and (not b["article"] or not (b["around"] or b["linked"] > MOST_LINKED * len(b["text"]))) for x, b in zip(labels, blocks)]
+    usable = [x is not None and not (b["article"] and b["around"]) for x, b in zip(labels, blocks)]
     out = list(labels)
-    for inside in (True, False):
+    for within in (True, False):
         last, before = None, []
         for k, b in enumerate(blocks):
             before.append(last)
-            if usable[k] and b["article"] == inside:
+            if usable[k] and b["article"] == within:
                 last = k
         nxt = None
         for k in range(len(blocks) - 1, -1, -1):
-            if out[k] is None and labels[k] is None and blocks[k]["article"] == inside:
+            if labels[k] is None and blocks[k]["article"] == within:
                 near = [j for j in (before[k], nxt) if j is not None]
-                out[k] = labels[min(near, key=lambda j: (abs(j - k), -j if blocks[k]["heading"] else j))] if near else inside
-            if usable[k] and blocks[k]["article"] == inside:
+                if within:
+                    out[k] = foreign or measured[k][2] > SPARSE or len(near) < 2 or any(labels[j] for j in near)
+                else:
+                    out[k] = bool(near) and labels[min(near, key=lambda j: (abs(j - k), -j if blocks[k]["heading"] else j))]
+            if usable[k] and blocks[k]["article"] == within:
                 nxt = k
     if not any(out):
-        return [not b["around"] and b["linked"] <= MOST_LINKED * len(b["text"]) for b in blocks]
+        return [not bad for bad, _, _ in measured]
     return [bool(x) for x in out]
 
 
