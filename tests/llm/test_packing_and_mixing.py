@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm.bin_completion import best_fit, complete
-from textloom.llm.mixing import mix_sources, mixed_documents, source_targets
+from textloom.llm.mixing import SQL, mix_sources, mixed_documents, source_targets
 from textloom.llm.packing import COMMON, default_tokenizer, load_tokenizer, pack_documents
 
 
@@ -164,6 +164,19 @@ def test_mixed_documents_are_what_the_mix_takes(documents):
     assert {r["doc_id"]: r["count"] for r in mixed.where("length(trim(text)) > 0").groupBy("doc_id").count().collect()} == {d: n for d, n in times.items() if n}
 
 
+def test_mix_with_empty_texts_agrees_with_its_sql(documents):
+    import duckdb
+
+    rng = random.Random(11)
+    docs = documents(*((k, rng.choice([None, "", " \n", "w " * rng.randint(1, 40)]), "en", rng.choice(["a"] * 12 + ["b", "c", "d", None])) for k in range(600)))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(SQL["op7_source_mixing"]).fetchall()
+    got = [tuple(r) for r in mix_sources(docs).collect()]
+    assert sorted((r[0], r[1], r[2], r[4]) for r in got) == sorted((r[0], r[1], r[2], r[4]) for r in want)
+    assert [x[3] for x in sorted(got)] == pytest.approx([x[3] for x in sorted(want)])
+
+
 def test_mixing_awkward_rows(awkward):
     rows = mix_sources(awkward).collect()
     assert len(rows) == awkward.count() and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)

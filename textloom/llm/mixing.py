@@ -85,7 +85,8 @@ def _plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFra
     inside = known.join(near(crossing), F.col("_source").eqNullSafe(F.col("_crossed")) & (F.col("_range") == F.col("cross")))
     order = Window.partitionBy("_source").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, 0)
     run = inside.withColumn("now", F.col("before") + F.sum("size").over(order))
-    nearer = F.abs(F.col("now") - F.col("wanted")) <= F.abs(F.col("now") - F.col("size") - F.col("wanted"))
+    # A document without words is as near as the one before it, also past the target.
+    nearer = (F.abs(F.col("now") - F.col("wanted")) <= F.abs(F.col("now") - F.col("size") - F.col("wanted"))) & (F.col("now") - F.col("size") < F.col("wanted"))
     cuts = run.groupBy(F.col("_source").alias("_crossed")).agg(F.first("cross").alias("cross"), F.max(F.when(nearer, F.struct("_key", "size"))).alias("cut"))
     full = plan.join(cuts, F.col("_source").eqNullSafe(F.col("_crossed")), "left").drop("_crossed", "wanted")
     mix = write_table(full, "mix")
