@@ -174,6 +174,19 @@ def test_one_of_each_component(documents, awkward):
     assert one_of_each_component(documents((1, "a b c d e f"), (1, "a b c d e f"))).count() == 1
 
 
+def test_texts_of_one_id_are_judged_each_by_its_own_component(documents):
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choices([f"w{k}" for k in range(500)], k=60))
+    one, two, three, unique = text(), text(), text(), text()
+    near = lambda x: x + " more"
+    rows = [(1, one), (5, near(one)), (5, unique), (5, unique), (5, ""), (6, two), (6, three), (7, near(two)), (8, near(three)), (9, near(unique)), (None, near(one))]
+    got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard_components(documents(*rows)).collect()), key=repr)
+    want = [1, 1, 5, 5, 5, 6, 6, 6, 6, 5, 1]
+    assert got == sorted(((d or 0, max(0, len(x.split()) - 4), c) for (d, x), c in zip(rows, want)), key=repr)
+    kept = one_of_each_component(documents(*rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted((d or 0, x) for d, x in {*rows} if (d, x) == (1, one) or d is None or (d == 5 and x in (unique, "")) or d == 6)
+
+
 def test_arithmetic_of_the_threshold():
     for a in range(1, 40):
         for b in range(1, 40):

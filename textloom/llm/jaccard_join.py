@@ -205,18 +205,18 @@ def classes_that_may_link(sets: DataFrame, groups: DataFrame, percent: int) -> D
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """rep, n, tokens of the classes: the texts of their representatives are read again, others left where they are."""
+    """rep (the class's node), n, tokens of the classes (rep, sig, node): the texts of their representatives are read again."""
     chosen = BloomFilter(classes, "rep", classes.count(), least=1).mark(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")), "rep").where("maybe").drop("maybe")
-    both = chosen.join(classes, "rep").select("rep", "text", "sig")
+    both = chosen.join(classes, "rep").select("node", "text", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _held_shingler(width)
         for batch in slices(batches):
             out: list[list] = [[], [], []]
-            for rep, text, sig in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for node, text, sig in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 tokens = shingle(text.as_py())
                 if len(tokens) and signature(tokens) == sig:  # rows of one id may differ in text
-                    for column, value in zip(out, (rep, len(tokens), tokens.tobytes())):
+                    for column, value in zip(out, (node, len(tokens), tokens.tobytes())):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["rep", "n", "tokens"])
 
@@ -395,45 +395,77 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     - Null and empty texts have no shingles and link with nothing, not even with one another. A text with fewer words
       than width has one shingle, all its words.
     - A row with a null id takes the component of rows with an equal set; it has no other links.
-    - Rows repeated in id stay repeated. No rows give no rows. Other columns are ignored, whatever their names.
+    - Rows repeated in id stay repeated, each with the component of its own text. No rows give no rows. Other columns
+      are ignored, whatever their names.
     """
+    found = _components(docs, id_col, text_col, width, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """id, n, component, sig of each row, in a table. Nodes of the links are numbers of classes: an id may have several."""
     sets = write_table(shingle_sets(docs, id_col, text_col, width, percent), "sets")
     rows = sets.count()
     salted, spread, groups = spread_groups(sets.where("n > 0").select("id", "n", "sig"), ["sig", "n"], "id", {"rep": (F.min, "id")}, rows)
     groups = write_table(groups, "classes")
-    classes = write_table(classes_that_may_link(sets, groups, percent), "may-link")
+    classes = write_table(classes_that_may_link(sets, groups, percent).withColumn("node", F.monotonically_increasing_id()), "may-link")
     whole = write_table(whole_sets(docs, classes, id_col, text_col, width), "whole-sets")
     ordered = write_table(prefixes(whole, percent), "ordered")
-    drop_tables(classes, whole)
+    drop_tables(whole)
     near = write_table(near_links(ordered, percent), "near-links")
     first = connected_components(near)
     joined = prefix_join(ordered, first, percent)
     drop_tables(first, ordered)
     components = connected_components(near.unionByName(joined))
     drop_tables(near, joined)
-    of = components.select(F.col("node").alias("rep"), "component")
-    least = spread.join(groups.join(of, "rep", "left").select("sig", "n", F.coalesce("component", "rep").alias("component")), ["sig", "n"])
-    linked = salted.join(least, ["sig", "n", "salt"]).select("id", "n", "component")
-    empty = sets.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    out = write_table(linked.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
-    drop_tables(sets, groups, components)
+    members = write_table(components.join(classes, "node").select("node", "component", "rep", "sig", "n"), "class-components")
+    drop_tables(components, classes)
+    salted_members, spread_members, tops = spread_groups(members, ["component"], "node", {"least_id": (F.min, "rep")}, rows)
+    of = salted_members.join(spread_members.join(tops, "component"), ["component", "salt"]).select("sig", "n", "least_id")
+    least = spread.join(groups.join(of, ["sig", "n"], "left").select("sig", "n", F.coalesce("least_id", "rep").alias("component")), ["sig", "n"])
+    linked = salted.join(least, ["sig", "n", "salt"]).select("id", "n", "component", "sig")
+    empty = sets.where("n = 0").select("id", "n", F.col("id").alias("component"), "sig")
+    out = write_table(linked.unionByName(empty), "components")
+    drop_tables(sets, groups, members)
     return out
 
 
+def signed_texts(texts: DataFrame, width: int) -> DataFrame:
+    """_id, text, _sig (of the set of the text, null for an empty one) for a table (_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = _held_shingler(width)
+        for batch in slices(batches):
+            sets = [shingle(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([signature(x) if len(x) else None for x in sets], pa.binary())], names=["_id", "text", "_sig"])
+
+    return texts.mapInArrow(run, "_id long, text string, _sig binary")
+
+
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of docs whose id is the least of their component, all columns kept; of rows repeated in id and text, one.
 
+    Rows of one id with different texts are judged each by its own component, for which their texts are read again.
     Rows without an id all stay, and so do texts without words. Rows in question are marked by a Bloom filter first;
     only marked rows shuffle, the rest go straight to the output. Nulls and empty tables as in jaccard_components().
     """
-    found = jaccard_components(docs, id_col, text_col, width, percent)
-    known = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_found")).agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
-    asked = write_table(known.where("_found <> least or n > 1").select("_found", (F.col("_found") != F.col("least")).alias("_gone")), "asked")
+    found = _components(docs, id_col, text_col, width, percent)
+    gone = F.col("component") != F.col("id")
+    known = found.where("id is not null").groupBy(F.col("id").alias("_found")).agg(F.count("*").alias("n"), F.max(gone).alias("_gone"), F.min(gone).alias("_all_gone"))
+    asked = write_table(known.where("_gone or n > 1").select("_found", "_gone", (F.col("_gone") != F.col("_all_gone")).alias("_mixed")), "asked")
+    mixed = asked.where("_mixed").select(F.col("_found").alias("id"))
+    gone_sets = write_table(found.where(gone).join(mixed, "id", "left_semi").select(F.col("id").alias("_id"), F.col("sig").alias("_sig")).distinct(), "gone-sets")
     drop_tables(found)
     marked = BloomFilter(asked, "_found", asked.count(), least=1).mark(docs.withColumn("_id", F.col(id_col).cast("long")), "_id", "_maybe")
     asked_of = F.col("_maybe") & F.col("_id").isNotNull()
     judged = marked.where(asked_of).join(asked, F.col("_id") == F.col("_found"), "left")
-    once = judged.where("_gone = false").dropDuplicates(["_id", text_col])
+    staying = judged.where("not _gone")
+    if gone_sets.limit(1).count():
+        texts = judged.where("_mixed").select("_id", F.col(text_col).alias("text")).distinct()
+        signed = signed_texts(texts, width).join(gone_sets, ["_id", "_sig"], "left_anti").select(F.col("_id").alias("_of"), F.col("text").alias("_text"))
+        own = judged.where("_mixed").join(signed, (F.col("_id") == F.col("_of")) & F.col(f"`{text_col}`").eqNullSafe(F.col("_text")), "left_semi")
+        staying = staying.unionByName(own)
+    once = staying.dropDuplicates(["_id", text_col])
     parts = [marked.where(~asked_of), judged.where("_gone is null"), once]
     out = parts[0].select(*docs.columns)
     for part in parts[1:]:
