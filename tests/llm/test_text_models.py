@@ -11,7 +11,7 @@ from textloom.llm import language_id as lid
 from textloom.llm import toxicity as tox
 from textloom.llm.chat_format import PARTS, escape, format_conversations, read_back, unescape
 from textloom.llm.html_extract import extract_pages, extract_text
-from textloom.llm.licence_scan import KNOWN, scan_licences
+from textloom.llm.licence_scan import KNOWN, SQL, scan_licences
 
 NAMES = "river stone house green winter market letter garden window silver morning travel".split()
 
@@ -234,6 +234,18 @@ def test_licences(spark, documents):
     assert len(rows) == 7 and scan_licences(docs.limit(0)).count() == 0
 
 
+def test_notices_in_lines_of_any_length(documents):
+    import duckdb
+
+    line = "Licensed under the MIT License."
+    docs = documents((1, f"{'=' * 9000} {line} {'-' * 9000}\nx"), (2, f"a\n{' ' * 70_000}{line}"), (3, f"a\n{'b ' * 9000}{line}"), (4, "\n".join(["x " * 9000 + "license"] * 3)))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    got = sorted(tuple(r) for r in scan_licences(docs).collect())
+    assert got == sorted(con.execute(SQL["op9_licence_scan"]).fetchall())
+    assert [r[3:] for r in got] == [("MIT", 1), ("MIT", 1), ("", 0), ("", 0)]
+
+
 # Fingerprints
 
 

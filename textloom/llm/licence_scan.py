@@ -137,14 +137,11 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = docs.sparkSession
     known = known_digests()
-    longest = max(n for _, _, n in known)
     names = spark.createDataFrame([(d, name) for d, name, _ in known], "_known string, license string")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     whole = rows.withColumn("digest", F.sha2(canonical(F.col("text")).cast("binary"), 256)).join(F.broadcast(names), F.col("digest") == F.col("_known"), "left")
-    # A line longer than any known text cannot be one; canonical forms are never longer than what they come from but by spellings.
-    lines = F.filter(F.split("text", "\n"), lambda line: F.length(line) <= 2 * longest)
     by_digest = F.create_map(*[x for d, name, _ in known for x in (F.lit(d), F.lit(name))])
-    likely = F.filter(lines, lambda line: F.rlike(ascii_lower(line), F.lit(HINTS)))
+    likely = F.filter(F.split("text", "\n"), lambda line: F.rlike(ascii_lower(line), F.lit(HINTS)))
     found = F.filter(F.transform(likely, lambda line: by_digest[F.sha2(canonical(line).cast("binary"), 256)]), lambda name: name.isNotNull())
     return whole.withColumn("found", found).select(
         F.col("id").alias(id_col), "digest", "license", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices")
