@@ -64,6 +64,17 @@ def test_both_tokenizer_libraries_give_the_same_ids():
         assert list(encode(text)) == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_are_those_of_the_untouched_tokenizer(documents):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(default_tokenizer())
+    texts = ["<|endoftext|>", "one <|endoftext|> two<|endoftext|>", "日本語<|endoftext|>", "<|endoftext", "plain é"]
+    got = {r["doc_id"]: r["ids"] for r in pack_documents(documents(*enumerate(texts)), with_ids=True).collect()}
+    for k, text in enumerate(texts):
+        ids = [*exact.encode(text, add_special_tokens=False).ids, 0]
+        assert got[k] == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def check_pieces(docs, pieces, capacity):
     encode = load_tokenizer(default_tokenizer())
     rows = [r.asDict() for r in pieces.collect()]

@@ -21,7 +21,7 @@ COMMON = 0x250
 
 
 def load_tokenizer(path: str):
-    """Text to ids by the vocabulary at path (JSON of the tokenizers library).
+    """Text to ids by the vocabulary at path (JSON of the tokenizers library), strings of added tokens as ordinary text.
 
     Where the same vocabulary lies beside it as ranks, the faster library encodes texts of common letters; it gives
     the same ids there (tests compare them). Any other text goes to the tokenizers library itself.
@@ -48,6 +48,15 @@ def load_tokenizer(path: str):
     return lambda text: exact.encode(text, add_special_tokens=False).ids if rare.search(text) else fast.encode_ordinary(text)
 
 
+def load_encoder(path: str):
+    """Text to the ids that the JSON tokenizer gives as it is: an added token's string in a text is that token."""
+    from tokenizers import Tokenizer
+
+    plain, ordinary = Tokenizer.from_file(path), load_tokenizer(path)
+    added = [token.content for token in plain.get_added_tokens_decoder().values()]
+    return lambda text: plain.encode(text, add_special_tokens=False).ids if any(x in text for x in added) else ordinary(text)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -66,7 +75,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         import numpy as np
 
-        encode = per_worker(f"tokenizer {path}", lambda: load_tokenizer(path))
+        encode = per_worker(f"tokenizer {path}", lambda: load_encoder(path))
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
