@@ -1,7 +1,10 @@
 import hashlib
 import math
 import random
+import re
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from textloom.llm import fingerprints as fp
 from textloom.llm import language_id as lid
 from textloom.llm import toxicity as tox
 from textloom.llm.chat_format import PARTS, escape, format_conversations, read_back, unescape
-from textloom.llm.html_extract import extract_pages, extract_text
+from textloom.llm.html_extract import BLOCKS, extract_pages, extract_text
 from textloom.llm.licence_scan import KNOWN, SQL, scan_licences
 
 NAMES = "river stone house green winter market letter garden window silver morning travel".split()
@@ -84,6 +87,91 @@ def test_an_article_element_speaks_for_its_blocks_but_does_not_decide(html, text
     assert extract_text(html)[0] == " ".join(text.split())
 
 
+RUSSIAN = "Он пришёл домой поздно вечером, когда все уже давно спали, а в окнах не было ни одного огня во всей деревне."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><p>{STORY}</p><video-player src=x></video-player><p>{MORE}</p></article>", f"{STORY} {MORE}"),
+        (f"<article><svg-icon><p>{STORY}</p></article>", STORY),
+        (f"<html><head><title>T</title><article><p>{STORY}</p></article>", STORY),
+        (f"<article><p title=it's>{STORY}</p><p>{MORE} it's</p></article>", f"{STORY} {MORE} it's"),
+        (f'<article><p title="open>{STORY}</p><p class="x">{MORE}</p></article>', f"{STORY} {MORE}"),
+        (f"<div class='reader-content'><p>{STORY}</p><p>{MORE}</p></div>", f"{STORY} {MORE}"),
+        (f"<body class='page no-sidebar'><p>{STORY}</p></body>", STORY),
+        (f"<body class='search-results'><p>{STORY}</p></body>", STORY),
+        (f"{NAV}<div><p>{RUSSIAN}</p><p>Да.</p><p>{RUSSIAN}</p></div>{FOOT}", f"{RUSSIAN} Да. {RUSSIAN}"),
+        (f"<a name=top><p>{STORY}</p><p>{MORE}</p>", f"{STORY} {MORE}"),
+        (f"<div><a href=/x><p>{STORY}</p><p>{MORE}</p></div>", f"{STORY} {MORE}"),
+        (f"<article><p>{STORY}</p><p><a href=/x>{MORE}</a></p><p>See <a href=/x>{MORE}</a></p></article>", f"{STORY} {MORE} See {MORE}"),
+        (f"<article><p>{STORY}</p><p><a href=/x>Read the paper</a></p><p>{MORE}</p></article>", f"{STORY} Read the paper {MORE}"),
+        (f"<article><p>{STORY}</p></article><section id=commentList><p>{MORE}</p><p>{STORY}</p></section>", STORY),
+        (f"<article><p>{STORY}</p><div class=comments><p>{MORE}</p></div></article>", STORY),
+        (f"<nav><a href=/>H</a><article><p>{STORY}</p></article>", STORY),
+        (f"<title>T<body><article><p>{STORY}</p></article>", STORY),
+        (f"<article><p>{STORY}</p><textarea><p>{MORE}</p></article>", f"{STORY} {MORE}"),
+        (f"<article><p>{STORY}</p><script>var x='<p>';</script ><p>{MORE}</p></article>", f"{STORY} {MORE}"),
+        (f"<div><div><p>{STORY}</p></div><div><p>So.</p></div><div><p>{MORE}</p></div></div><div>Share</div>", f"{STORY} So. {MORE}"),
+    ],
+)
+def test_no_text_is_lost_to_odd_markup(html, text):
+    assert extract_text(html)[0] == text
+
+
+@pytest.mark.parametrize("html", ["<div>" * 8000 + "</p>" * 8000, "<svg>" * 20_000, "<title>" * 20_000, "<a href=x>" * 20_000, "<p a='x" * 20_000, "<div>x " * 8000, "<td><table>" * 8000])
+def test_time_grows_with_the_page(html):
+    import time
+
+    began = time.process_time()
+    extract_text(html)
+    assert time.process_time() - began < 2
+
+
+class Reader(HTMLParser):
+    """A second way to the text of pages whose article is an element: everything in it, by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.open = 0, [], []
+
+    def end_block(self):
+        if text := " ".join("".join(self.open).split()):
+            self.blocks.append(text)
+        self.open = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in BLOCKS or tag == "br":
+            self.end_block()
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in BLOCKS:
+            self.end_block()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.open.append(data)
+
+
+def test_pages_of_the_table_against_a_plain_reader(spark):
+    """As they are; and without article elements and class words, where rules on text alone must find nearly all of it."""
+    html = [r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    words = lost = 0
+    for page_ in html:
+        reader = Reader()
+        reader.feed(page_)
+        reader.close()
+        reader.end_block()
+        text = " ".join(reader.blocks)
+        assert extract_text(page_)[0] == text
+        bare = re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)", r"<\1div", page_))
+        words += len(text.split())
+        lost += sum((Counter(text.split()) - Counter(extract_text(bare)[0].split())).values())
+    assert words > 10_000 and lost < 0.002 * words
+
+
 def test_pages(spark):
     rows = [(1, "u", page(f"<article><p>{STORY}</p></article>")), (1, "u", page(f"<article><p>{STORY}</p></article>")), (None, None, None), (2, "v", "x" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(0))
