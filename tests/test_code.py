@@ -181,7 +181,7 @@ def test_catalogue_agrees_with_sql(spark):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in "region nation customer part orders events documents pages benchmark labels".split():
+    for t in "region nation customer supplier part orders events documents pages benchmark labels".split():
         con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     for name in QUERIES:

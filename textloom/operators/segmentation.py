@@ -271,6 +271,11 @@ def irrelevant_locations(parsed: DataFrame) -> DataFrame:
     return segments(parsed).where("irrelevant").select("source_id", "start_off", "end_off")
 
 
+def relevant_locations(parsed: DataFrame) -> DataFrame:
+    """source_id, start_off, end_off of the segments kept: all but the irrelevant ones."""
+    return segments(parsed).where("not irrelevant").select("source_id", "start_off", "end_off")
+
+
 def outside(tokens: DataFrame, spans: DataFrame, id_col: str = "source_id") -> DataFrame:
     """tokens that lie in no span of their source: the spans of a source come to its tokens as one array."""
     listed = spans.groupBy(id_col).agg(F.collect_list(F.struct("start_off", "end_off")).alias("_spans"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import cli
 from textloom.functions import selection as sel
 from textloom.functions import similarity as sim
 from textloom.functions import text as tx
 from textloom.functions.stop_words import in_any_list, stop_list, stop_words
 from textloom.operators import concepts, counting, graph, segmentation, spelling, typicality
 from textloom.sources import files
-from textloom.tables import spread
+from textloom.tables import shared_dir, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -67,13 +72,13 @@ _SELECTIONS = """
 
 @query("SELECT page_id, url FROM pages WHERE NOT (contains(url, 'th') AND contains(url, 'en'))")
 def scan_filter(spark, sf_dir):
-    """Files whose name has every keyword go."""
+    """Files whose name has every keyword go."""
     return files.drop_named(_read(spark, sf_dir, "pages"), ["th", "en"], "url").select("page_id", "url")
 
 
 @query("SELECT doc_id, CAST(k - 1 AS INT) AS line_no, parts[k] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM documents))")
 def content_lines(spark, sf_dir):
-    """Lines of every document."""
+    """Lines of every document."""
     return files.content_lines(files.table_sources(_read(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("source_id", "doc_id")
 
 
@@ -230,19 +235,48 @@ def edit1_in_dict(spark, sf_dir):
     return spelling.known_mutations(_asked(spark, sf_dir), _dictionary(spark, sf_dir)).select("word", "candidate", "freq")
 
 
-@query(f"""WITH {_DICTIONARY}, {_ASKED},
-    prefixes AS (SELECT left(word, k) AS prefix, word, freq FROM (SELECT word, freq, unnest(range(length(word) + 1)) AS k FROM dictionary)),
-    best AS (SELECT prefix, first(word ORDER BY freq DESC, word) AS candidate FROM prefixes GROUP BY prefix)
-    SELECT asked.word, coalesce(one.candidate, two.candidate) AS candidate FROM asked
-    LEFT JOIN best one ON one.prefix = asked.word LEFT JOIN best two ON two.prefix = left(asked.word, length(asked.word) - 1)""")
+#: Only beginnings that are asked for are made of dictionary words.
+_PREFIXED = """
+    wanted AS (SELECT DISTINCT unnest([word, left(word, length(word) - 1)]) AS prefix FROM asked),
+    best AS (SELECT prefix, arg_min(word, {'f': -freq, 'w': word}) AS candidate
+             FROM (SELECT word, freq, unnest(list_transform(range(length(word) + 1), lambda k: left(word, k))) AS prefix FROM dictionary) SEMI JOIN wanted USING (prefix) GROUP BY prefix),
+    prefixed AS (SELECT asked.word, coalesce(one.candidate, two.candidate) AS candidate FROM asked
+                 LEFT JOIN best one ON one.prefix = asked.word LEFT JOIN best two ON two.prefix = left(asked.word, length(asked.word) - 1))"""
+
+
+@query(f"WITH {_DICTIONARY}, {_ASKED}, {_PREFIXED} SELECT word, candidate FROM prefixed")
 def prefix_correct(spark, sf_dir):
     """D6, D7."""
     return spelling.prefix_correction(_asked(spark, sf_dir), _dictionary(spark, sf_dir))
 
 
-@query()
+def _plain(column: str) -> str:
+    return _PLAIN.replace("text", column, 1)
+
+
+_LIKE = _SIMILAR.replace("(a", "({0}").replace("(b", "({1}").replace(", b", ", {1}")
+
+
+@query(rf"""WITH {_DICTIONARY}, {_ASKED}, {_PREFIXED},
+    odd AS (SELECT word, {_plain('word')} AS a FROM asked ANTI JOIN dictionary USING (word) WHERE regexp_full_match(word, '[^aeiou]+')),
+    letters AS (SELECT i, chr(CAST(97 + i AS INT)) AS c FROM (SELECT unnest(range(26)) AS i)),
+    cut AS (SELECT word, unnest(range(length(word) + 1)) AS k FROM odd),
+    made AS (
+      SELECT word, left(word, k) || substr(word, k + 2) AS candidate, 0 AS kind, k, 0 AS i FROM cut WHERE k < length(word)
+      UNION ALL SELECT word, left(word, k) || c || substr(word, k + 2), 1, k, i FROM cut, letters WHERE k < length(word)
+      UNION ALL SELECT word, left(word, k) || c || substr(word, k + 1), 2, k, i FROM cut, letters
+      UNION ALL SELECT word, left(word, k) || substr(word, k + 2, 1) || substr(word, k + 1, 1) || substr(word, k + 3), 3, k, 0 FROM cut WHERE k < length(word) - 1),
+    one AS (SELECT made.word, arg_min(candidate, {{'f': -freq, 't': kind, 'k': k, 'i': i}}) AS candidate FROM made JOIN dictionary ON candidate = dictionary.word GROUP BY made.word),
+    two AS (SELECT odd.word, arg_min(d.word, {{'f': -freq, 'w': d.word}}) AS candidate
+            FROM odd JOIN (SELECT word, freq, {_plain('word')} AS b FROM dictionary) d ON abs(length(a) - length(b)) <= 2 AND damerau_levenshtein(a, b) <= 2 GROUP BY odd.word),
+    choice AS (SELECT word, candidate FROM prefixed UNION SELECT word, candidate FROM one UNION SELECT word, candidate FROM two),
+    scored AS (SELECT word, candidate, {_LIKE.format(_plain('word'), _plain('candidate'))} AS likeness FROM choice SEMI JOIN odd USING (word) WHERE candidate IS NOT NULL),
+    likest AS (SELECT word, arg_min(candidate, {{'s': -likeness, 'w': candidate}}) AS candidate FROM scored GROUP BY word),
+    fixed AS (SELECT asked.word, CASE WHEN asked.word IN (SELECT word FROM dictionary) THEN asked.word ELSE coalesce(likest.candidate, prefixed.candidate, asked.word) END AS corrected
+              FROM asked LEFT JOIN likest USING (word) LEFT JOIN prefixed USING (word))
+    SELECT word, corrected, CASE WHEN {_LIKE.format(_plain('word'), _plain('corrected'))} > CAST(0.3 AS FLOAT) THEN corrected ELSE word END AS accepted FROM fixed""")
 def spell_correct(spark, sf_dir):
-    """Every word of the benchmark, corrected against the documents' words. Tests compare it with brute force."""
+    """Every word of the benchmark, corrected against the documents' words."""
     fixed = spelling.correct(_asked(spark, sf_dir), _dictionary(spark, sf_dir))
     return fixed.withColumn("accepted", spelling.accepted(F.col("word"), F.col("corrected")))
 
@@ -264,7 +298,7 @@ def pair_scores(spark, sf_dir):
 
 @query(f"{_TYPICAL} SELECT source_id, round(score, 6) AS score FROM typical")
 def typicality_scores(spark, sf_dir):
-    """M5, M6, A10, Q13."""
+    """M5, M6, A10."""
     return typicality.typicality(_features(spark, sf_dir)).select("source_id", F.round("score", 6).alias("score"))
 
 
@@ -311,7 +345,7 @@ def representatives(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def set_difference(spark, sf_dir):
-    """Q16, G20."""
+    """Q16."""
     return _read(spark, sf_dir, "documents").select("doc_id").join(_read(spark, sf_dir, "labels"), "doc_id", "left_anti").distinct()
 
 
@@ -328,7 +362,7 @@ def _dag(spark, sf_dir) -> graph.Dag:
 
 @query(f"WITH {_EDGES}, {_VERTICES} SELECT ordinal, (SELECT count(*) FROM edge WHERE to_ord = ordinal) AS in_degree, (SELECT count(*) FROM edge WHERE from_ord = ordinal) AS out_degree FROM vertex")
 def degrees(spark, sf_dir):
-    """G1-G3, G5, G11, G17."""
+    """G2, G5, G11, G17."""
     dag = _dag(spark, sf_dir)
     return graph.degrees(dag.vertices, dag.edges)
 
@@ -339,19 +373,75 @@ def incident_edges(spark, sf_dir):
     return graph.incident(_dag(spark, sf_dir).edges)
 
 
+@query(f"WITH {_VERTICES} SELECT count(*) AS vertices, 5 AS labels_kept FROM vertex")
+def add_vertices(spark, sf_dir):
+    """Vertices that are there already change nothing, whatever their label."""
+    dag = _dag(spark, sf_dir)
+    again = dag.vertices.where("depth = 0").withColumn("label", F.lit("other"))
+    both = dag.add_vertices(again).add_vertices(again).vertices
+    return both.agg(F.count("*").alias("vertices"), F.count_if((F.col("depth") == 0) & (F.col("label") != "other")).cast("int").alias("labels_kept"))
+
+
+@query(f"""WITH {_EDGES}, {_VERTICES}, asked AS (SELECT DISTINCT o_custkey % 60 + 990 AS a, 1000000 + o_custkey AS b FROM orders)
+    SELECT 'vertex' AS kind, a AS from_ord, a AS to_ord FROM (SELECT DISTINCT a FROM asked) SEMI JOIN vertex ON a = ordinal
+    UNION ALL SELECT 'edge', a, b FROM asked SEMI JOIN edge ON from_ord = a AND to_ord = b""")
+def contained(spark, sf_dir):
+    """Which of some vertices and edges the graph has."""
+    dag = _dag(spark, sf_dir)
+    asked = _read(spark, sf_dir, "orders").select((F.col("o_custkey") % 60 + 990).cast("long").alias("from_ord"), (F.col("o_custkey") + 1000000).cast("long").alias("to_ord")).distinct()
+    known = dag.contains_vertices(asked.select(F.col("from_ord").alias("ordinal")).distinct())
+    return known.select(F.lit("vertex").alias("kind"), F.col("ordinal").alias("from_ord"), F.col("ordinal").alias("to_ord")).unionByName(dag.contains_edges(asked).select(F.lit("edge").alias("kind"), "from_ord", "to_ord"))
+
+
+@query(f"""WITH {_EDGES}, {_VERTICES} SELECT 'root' AS what, 2 AS from_ord, NULL AS to_ord UNION ALL SELECT 'label', 1000 + min(n_nationkey), NULL FROM nation WHERE n_name = 'NATION_7'
+    UNION ALL SELECT 'place', 1003, NULL UNION ALL SELECT 'edge', from_ord, to_ord FROM edge WHERE to_ord = 1009
+    UNION ALL SELECT 'size', count(*), NULL FROM edge UNION ALL SELECT 'weight', CAST(sum(weight) AS BIGINT), NULL FROM edge""")
+def lookups(spark, sf_dir):
+    """The root, a vertex by label and by place, an edge by its ends, how many edges there are."""
+    dag = _dag(spark, sf_dir).set_root(2)
+    ends = F.lit(None).cast("long").alias("to_ord")
+    found = {"root": dag.root(), "label": dag.by_label("NATION_7"), "place": dag.at(1003)}
+    out = dag.find_edge(1009, 1009).select(F.lit("edge").alias("what"), "from_ord", "to_ord")
+    for what, rows in found.items():
+        out = out.unionByName(rows.select(F.lit(what).alias("what"), F.col("ordinal").alias("from_ord"), ends))
+    weight = dag.edges.agg(F.sum("weight").cast("long").alias("from_ord")).select(F.lit("weight").alias("what"), "from_ord", ends)
+    return out.unionByName(spark.range(1).select(F.lit("size").alias("what"), F.lit(dag.size()).cast("long").alias("from_ord"), ends)).unionByName(weight)
+
+
+@query(f"WITH {_EDGES} SELECT from_ord, to_ord FROM edge WHERE NOT (to_ord >= 1000000 AND to_ord % 3 = 0)")
+def remove_edges(spark, sf_dir):
+    """Without every third customer's edge."""
+    dag = _dag(spark, sf_dir)
+    return dag.remove_edges(dag.edges.where("to_ord >= 1000000 and to_ord % 3 = 0")).edges.select("from_ord", "to_ord")
+
+
+@query("SELECT true AS refused, count(*) + 1 AS edges FROM (SELECT c_custkey FROM customer UNION ALL SELECT n_nationkey FROM nation) t")
+def add_edges(spark, sf_dir):
+    """An edge that closes a cycle is refused; a repeated one, and one to an unknown vertex, change nothing."""
+    dag = _dag(spark, sf_dir)
+    edge = lambda a, b: spark.createDataFrame([(a, b, 1.0)], "from_ord long, to_ord long, weight double")
+    try:
+        dag.add_edges(edge(1001, 1).unionByName(edge(1, 1001)))
+        refused = False
+    except graph.CycleError:
+        refused = True
+    more = dag.add_edges(edge(1, 1001).unionByName(edge(0, 77)).unionByName(edge(0, 1003)))
+    return spark.createDataFrame([(refused, more.size())], "refused boolean, edges long")
+
+
 _PAIRS = "pair AS (SELECT 1000000 + c_custkey AS child, 1000 + c_custkey % 25 AS parent FROM customer)"
 
 
 @query(f"WITH {_EDGES}, {_PAIRS} SELECT child, parent, EXISTS (SELECT 1 FROM edge WHERE from_ord = parent AND to_ord = child) AS is_descendant FROM pair")
 def direct_parent(spark, sf_dir):
-    """G4, G16."""
+    """G16."""
     pairs = _read(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000000).alias("child"), (F.col("c_custkey") % 25 + 1000).alias("parent"))
     return graph.is_descendant(_dag(spark, sf_dir).edges, pairs)
 
 
 @query(f"WITH {_EDGES}, {_PAIRS} SELECT parent AS from_ord, child AS to_ord, CASE WHEN parent = child THEN 0.0 ELSE coalesce((SELECT CAST(weight AS DOUBLE) FROM edge WHERE from_ord = parent AND to_ord = child), CAST(2147483647 AS DOUBLE)) END AS weight FROM pair")
 def edge_weight(spark, sf_dir):
-    """G12, G13."""
+    """G13."""
     pairs = _read(spark, sf_dir, "customer").select((F.col("c_custkey") % 25 + 1000).alias("from_ord"), (F.col("c_custkey") + 1000000).alias("to_ord"))
     return graph.edge_weights(_dag(spark, sf_dir).edges, pairs)
 
@@ -368,7 +458,7 @@ def has_cycle(spark, sf_dir):
 
 @query(f"WITH {_EDGES}, {_VERTICES} SELECT from_ord, to_ord FROM edge WHERE to_ord NOT IN (SELECT 1000 + n_nationkey FROM nation WHERE n_nationkey % 2 = 0) AND from_ord NOT IN (SELECT 1000 + n_nationkey FROM nation WHERE n_nationkey % 2 = 0)")
 def remove_vertices(spark, sf_dir):
-    """Without every other nation."""
+    """Without every other nation."""
     dag = _dag(spark, sf_dir)
     gone = dag.vertices.where("ordinal between 1000 and 999999 and ordinal % 2 = 0")
     return dag.remove_vertices(gone).edges.select("from_ord", "to_ord")
@@ -376,7 +466,7 @@ def remove_vertices(spark, sf_dir):
 
 @query(f"WITH {_VERTICES} SELECT r_regionkey AS ordinal, r_name AS label, 0 AS depth FROM region UNION ALL SELECT 1000 + n_nationkey, n_name, 1 FROM nation UNION ALL SELECT 1000000 + c_custkey, c_name, 2 FROM customer")
 def vertices_by_depth(spark, sf_dir):
-    """G6-G8, G23."""
+    """G23."""
     return _dag(spark, sf_dir).rendered()
 
 
@@ -418,56 +508,235 @@ def floor_ceiling(spark, sf_dir):
 
 
 @query(f"""WITH {_SELECTIONS}, u AS (SELECT cust, a, b, list_intersect(a, b) AS common, list_distinct(list_concat(a, b)) AS whole FROM chosen)
-    SELECT cust, CAST(len(common) AS INT) AS shared, CAST(CASE WHEN len(common) > 0 THEN 1 ELSE len(whole) END AS INT) AS united, CAST(len(list_filter(a, lambda x: x <> a[1])) AS INT) AS after_delete, list_contains(b, a[1]) AS has_first FROM u""")
+    SELECT cust, CAST(len(common) AS INT) AS shared, CAST(CASE WHEN len(common) > 0 THEN 1 ELSE len(whole) END AS INT) AS united, CAST(len(list_filter(a, lambda x: x <> a[1])) AS INT) AS after_delete, CAST(len(list_distinct(list_append(a, b[1]))) AS INT) AS after_add, list_contains(b, a[1]) AS has_first FROM u""")
 def selection_union(spark, sf_dir):
     """L2, L3, L8-L10."""
     a, b = F.col("a"), F.col("b")
-    return _selections(spark, sf_dir).select("cust", sel.size(sel.intersects(a, b)).alias("shared"), sel.size(sel.union(a, b)).alias("united"), sel.size(sel.delete(a, sel.first(a))).alias("after_delete"), sel.contains(b, sel.first(a)).alias("has_first"))
+    return _selections(spark, sf_dir).select("cust", sel.size(sel.intersects(a, b)).alias("shared"), sel.size(sel.union(a, b)).alias("united"), sel.size(sel.delete(a, sel.first(a))).alias("after_delete"), sel.size(sel.add(a, sel.first(b))).alias("after_add"), sel.contains(b, sel.first(a)).alias("has_first"))
 
 
 @query(f"WITH {_SELECTIONS}, h AS (SELECT cust, {_HULL} AS hull FROM chosen) SELECT cust, substr(c_name || c_address, hull.start + 1, hull.\"end\" - hull.start) AS code FROM h JOIN (SELECT c_custkey, c_name, c_name || c_name || c_name || c_name AS c_address FROM customer) ON c_custkey = cust")
 def selection_code(spark, sf_dir):
-    """L13, U4."""
+    """L13."""
     texts = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.repeat("c_name", 5).alias("content"))
     return _selections(spark, sf_dir).join(texts, "cust").select("cust", sel.code(F.col("a"), F.col("content")).alias("code"))
 
 
 # Code: one small Java source for each part
 
+#: The source of a name and a number, as SQL; both engines read \\n as a line end here.
+_BODY = (
+    "public class {0} {\n  private int total;\n\n  public int process{0}(int count) {\n    int result = 0;\n    for (int k = 0; k < count; k++) {\n      if (k % 2 == 0) {\n        result += measure{0}(k);\n      } else {\n        result--;\n      }\n"
+    "    }\n    try {\n      total += result;\n    } catch (IllegalStateException e) {\n      throw e;\n    }\n    return result;\n  }\n\n  private int measure{0}(int value) {\n    return value + {1};\n  }\n}\n"
+)
+
+
+def _body(name: str, number: str, line_end: str = "chr(10)") -> str:
+    """An expression for the text, which DuckDB and Spark read alike."""
+    parts = _BODY.replace("{0}", "\x00N\x00").replace("{1}", "\x00I\x00").replace("\n", "\x00L\x00").split("\x00")
+    said = {"N": name, "I": f"CAST({number} AS STRING)", "L": line_end}
+    return "concat(" + ", ".join(said.get(p, f"'{p}'") for p in parts if p) + ")"
+
 
 def _java(spark, sf_dir):
-    name = F.expr(_NAME)
-    body = F.format_string(
-        "public class %1$s {\n  private int total;\n\n  public int process%1$s(int count) {\n    int result = 0;\n    for (int k = 0; k < count; k++) {\n      if (k %% 2 == 0) {\n        result += measure%1$s(k);\n      } else {\n        result--;\n      }\n"
-        "    }\n    try {\n      total += result;\n    } catch (IllegalStateException e) {\n      throw e;\n    }\n    return result;\n  }\n\n  private int measure%1$s(int value) {\n    return value + %2$s;\n  }\n}\n",
-        name, F.col("p_size").cast("string"),
-    )
     # A part is a few bytes, the source made of it is parsed: the scan's one task would do all of it.
-    return spread(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").select(F.col("p_partkey").cast("long").alias("source_id"), name.alias("name"), body.alias("content"))
+    rows = spread(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").withColumn("name", F.expr(_NAME))
+    return rows.select(F.col("p_partkey").cast("long").alias("source_id"), "name", F.expr(_body("name", "p_size")).alias("content"))
+
+
+_JAVA = f"java AS (SELECT source_id, name, {_body('name', 'size')} AS content FROM (SELECT CAST(p_partkey AS BIGINT) AS source_id, {_CAMEL} AS name, p_size AS size FROM part))"
+
+
+def _at(before: str, more: int = 0) -> str:
+    """Place of a passage of the source, from 0, and so many characters further."""
+    return f"(instr(content, {_quoted(before)}) - 1 + {more})"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
 
+_END, _TAIL = "    return result;\n  }", "length(content) - 3"
+#: The blocks of such a source in order: kind, start, end, depth, weight, benefit, irrelevant.
+_BLOCKS_OF_JAVA = [
+    ("method", _at("public int process"), _at(_END, len(_END)), 2, 16.0, 1.0, False),
+    ("block", _at("(int count) {", 12), _at(_END, len(_END)), 3, 0.0, 16.0, False),
+    ("block", _at("k++) {", 5), _at("    }\n    try", 5), 5, 0.0, 4.4, False),
+    ("block", _at("== 0) {", 6), _at("      } else", 7), 7, 0.0, 16 / 7, False),
+    ("block", _at("(int value) {", 12), _TAIL, 3, 0.0, 1.9999999999999998, True),
+    ("block", _at("else {", 5), _at("--;\n      }", 11), 7, 0.0, 11 / 7, True),
+    ("block", _at("try {", 4), _at("    } catch", 5), 5, 0.0, 2.0, True),
+    ("block", _at("Exception e) {", 13), _at("throw e;\n    }", 14), 6, 0.0, 7 / 6, True),
+    ("method", _at("private int measure"), _TAIL, 2, 3.0, 1.0, True),
+]
+_LINE = "CAST(length(left(content, {0})) - length(replace(left(content, {0}), chr(10), '')) + 1 AS INT)"
+_SEGMENTS = f"WITH {_JAVA}, segment AS (" + " UNION ALL ".join(
+    f"SELECT source_id, content, {k} AS ordinal, '{kind}' AS kind, CAST({start} AS INT) AS start_off, CAST({end} AS INT) AS end_off, {depth} AS depth, CAST({weight!r} AS DOUBLE) AS weight, CAST({benefit!r} AS DOUBLE) AS benefit, {irrelevant} AS irrelevant FROM java"
+    for k, (kind, start, end, depth, weight, benefit, irrelevant) in enumerate(_BLOCKS_OF_JAVA)
+) + ")"
 
-@query()
+
+@query(f"{_SEGMENTS} SELECT source_id, ordinal, kind, start_off, end_off, {_LINE.format('start_off')} AS start_line, {_LINE.format('end_off - 1')} AS end_line, depth, weight, benefit, ordinal = 0 AS is_root, irrelevant FROM segment")
 def segment_knapsack(spark, sf_dir):
-    """Segments of every source and which of them are left out."""
+    """Segments of every source and which of them are left out."""
     return segmentation.segments(segmentation.parse_sources(_java(spark, sf_dir))).drop("label")
 
 
-@query()
+@query(f"WITH {_JAVA} SELECT source_id, e.* FROM java, (VALUES (0, 1), (1, 2), (2, 3), (3, 4), (2, 5), (1, 6), (1, 7), (8, 4)) AS e(from_ord, to_ord)")
+def segment_edges(spark, sf_dir):
+    """Which block holds or calls which."""
+    return segmentation.edges(segmentation.parse_sources(_java(spark, sf_dir))).select("source_id", "from_ord", "to_ord")
+
+
+@query(f"{_SEGMENTS} SELECT source_id, start_off, end_off FROM segment WHERE NOT irrelevant")
+def relevant_segments(spark, sf_dir):
+    """The segments of a source but for the irrelevant ones."""
+    parsed = segmentation.parse_sources(_java(spark, sf_dir))
+    return segmentation.relevant_locations(parsed)
+
+
+@query(f"""{_SEGMENTS} SELECT source_id, CASE segment.ordinal WHEN 0 THEN 1 ELSE 2 END AS ordinal, kind, CASE segment.ordinal WHEN 0 THEN 'process' ELSE 'measure' END || name AS name, start_off, end_off
+    FROM segment JOIN java USING (source_id) WHERE kind = 'method'""")
+def methods_of_sources(spark, sf_dir):
+    """Methods of every source, in order."""
+    found = segmentation.units(segmentation.parse_sources(_java(spark, sf_dir))).where("kind = 'method'")
+    return found.select("source_id", "ordinal", "kind", "name", "start_off", "end_off")
+
+
+@query(f"{_SEGMENTS} SELECT source_id, CASE WHEN name IN ('ColdBolt', 'NewRing') THEN substr(content, start_off + 1, end_off - start_off) END AS data, CASE WHEN name NOT IN ('ColdBolt', 'NewRing') THEN 'no such method' END AS error FROM segment JOIN java USING (source_id, content) WHERE ordinal = 8")
+def unit_code(spark, sf_dir):
+    """The method asked for, of the sources that have one of the names; else what is wrong."""
+    java = _java(spark, sf_dir)
+    return segmentation.unit_code(java, segmentation.parse_sources(java, ["measureColdBolt", "measureNewRing"]))
+
+
+@query(f"WITH {_JAVA} SELECT source_id, substr(content, {_at('public int process')} + 1, {_at(_END, len(_END))} - {_at('public int process')}) AS data, CAST(NULL AS VARCHAR) AS error FROM java")
 def segments_code(spark, sf_dir):
-    """What the segments that are kept span."""
+    """What the segments that are kept span."""
     java = _java(spark, sf_dir)
     return segmentation.segments_code(java, segmentation.parse_sources(java))
 
 
-@query()
+_WORDS_OF_JAVA = f"""said AS (
+      SELECT source_id, lower(word) AS word, 3 AS n FROM (SELECT source_id, unnest({_SPLIT.replace('{0}', 'name')}) AS word FROM java)
+      UNION ALL SELECT source_id, w.* FROM java, (VALUES ('result', 3), ('count', 2), ('process', 1), ('measure', 1), ('total', 1)) AS w(word, n)),
+    counted AS (SELECT source_id, word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE NOT {_IS_STOP} GROUP BY ALL),
+    concept AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY n DESC, word) AS INT) AS rank FROM counted QUALIFY rank <= 10)"""
+
+
+@query(f"WITH {_JAVA}, {_WORDS_OF_JAVA} SELECT source_id, word, n, rank FROM concept")
 def concepts_code(spark, sf_dir):
     """Words of every source, corrected by the words of all sources."""
     java = _java(spark, sf_dir)
     return concepts.source_concepts(java, spelling.build_dictionary(java, "content"))
 
 
-@query()
+@query(f"WITH {_JAVA}, {_WORDS_OF_JAVA} SELECT word, count(*) AS n FROM concept GROUP BY word ORDER BY n DESC, word LIMIT 10")
 def corpus_concepts_code(spark, sf_dir):
     """Q1-Q3."""
     java = _java(spark, sf_dir)
     return concepts.corpus_concepts(java, spelling.build_dictionary(java, "content"))
+
+
+# Files: a source for each nation, a table of fixed size, in folders by region
+
+_HARBOR = "concat('Harbor', substr('Umbrellavineyardquicksand', 1, CAST(n_nationkey AS INT)))"
+_FILE = "concat(CASE n_nationkey % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'Test' ELSE '' END, 'N', CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 8 = 0 THEN 'Test' ELSE '' END)"
+_LINE_END = "CASE WHEN n_nationkey % 3 = 0 THEN concat(chr(13), chr(10)) ELSE chr(10) END"
+#: What is left of the files: those with both words in their names are passed over, lines end in one line feed, the last in none.
+_FILES = f"""file AS (SELECT n_nationkey AS source_id, {_FILE} AS name, {_HARBOR} AS harbor, replace({_body(_HARBOR, 'n_nationkey')} || '#', chr(10) || '#', '') AS content
+    FROM nation WHERE n_nationkey % 8 <> 0)"""
+
+
+def _folder(spark, sf_dir) -> str:
+    """Writes the files and some to be passed over; the nations are 25, whatever the size of the data."""
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    nations = _read(spark, sf_dir, "nation").withColumn("end", F.expr(_LINE_END))
+    made = nations.select("n_regionkey", F.expr(_FILE).alias("file"), F.expr(_body(_HARBOR, "n_nationkey", "end")).alias("content"))
+    for r in made.toLocalIterator():
+        files.write_file(spark, f"{folder}/r{r['n_regionkey']}/{r['file']}.java", r["content"])
+    files.write_file(spark, f"{folder}/r0/notes.txt", "class Notes {}")
+    return folder
+
+
+def _collected(spark, sf_dir) -> DataFrame:
+    return files.collect_files(spark, _folder(spark, sf_dir), "java", ["test", "Test"])
+
+
+@query(f"WITH {_FILES} SELECT name, content FROM file")
+def folder_sources(spark, sf_dir):
+    """Sources of the files below a folder, without those whose name has both words."""
+    return files.file_sources(_collected(spark, sf_dir)).select("name", "content")
+
+
+@query(f"WITH {_FILES}, cut AS (SELECT name, string_split(content, chr(10)) AS parts FROM file) SELECT name, CAST(k - 1 AS INT) AS line_no, parts[k] AS line FROM (SELECT name, parts, unnest(range(1, len(parts) + 1)) AS k FROM cut)")
+def folder_lines(spark, sf_dir):
+    """Lines of the files' sources."""
+    sources = files.file_sources(_collected(spark, sf_dir))
+    return sources.join(files.content_lines(sources), "source_id").select("name", "line_no", "line")
+
+
+@query(f"WITH {_FILES} SELECT name, 'source' AS kind FROM file WHERE source_id % 5 = 1 UNION ALL SELECT 'process' || harbor, 'relevant' FROM file WHERE source_id % 5 = 1")
+def populated(spark, sf_dir):
+    """What a file of entries asks for: sources, and names of methods."""
+    folder = _folder(spark, sf_dir)
+    asked = _read(spark, sf_dir, "nation").where("n_nationkey % 5 = 1 and n_nationkey % 8 <> 0")
+    line = F.concat(F.lit(f"{folder}/r"), F.col("n_regionkey"), F.lit("/"), F.expr(_FILE), F.lit(".java::process"), F.expr(_HARBOR), F.lit("(int count)::int"))
+    files.write_file(spark, f"{folder}/entries.txt", "\n".join(r[0] for r in asked.select(line).toLocalIterator()))
+    entries = files.read_lines(spark, f"{folder}/entries.txt").withColumnRenamed("value", "line")
+    sources, relevant = files.populate(entries, files.collect_files(spark, folder, "java"))
+    return sources.select("name", F.lit("source").alias("kind")).unionByName(relevant.select("name", F.lit("relevant").alias("kind")))
+
+
+# Command line
+
+
+def _printed(spark, *arguments: str) -> DataFrame:
+    """line_no, line: what a command prints, the few rows of a top-k."""
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        status = cli.main(list(arguments), spark)
+    lines = [f"exit {status}", *shown.getvalue().split("\n")]
+    return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
+
+
+def _lines_sql(text: str) -> str:
+    """line_no, line of what an expression over rows of `shown` in order of rank prints."""
+    return f"""parts AS (SELECT list_concat(['exit 0'], string_split(string_agg({text}, '' ORDER BY rank), chr(10))) AS parts FROM shown)
+    SELECT CAST(k - 1 AS INT) AS line_no, parts[k] AS line FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS k FROM parts)"""
+
+
+_FILE_WORDS = _WORDS_OF_JAVA.replace("java", "file_name")
+
+
+@query(f"""WITH {_FILES}, file_name AS (SELECT source_id, harbor AS name FROM file), {_FILE_WORDS},
+    top AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS place FROM concept GROUP BY word QUALIFY place <= 7),
+    shown AS (SELECT 1 AS rank, '[' || string_agg(word, ', ' ORDER BY place) || ']' AS said FROM top), {_lines_sql("said || chr(10)")}""")
+def command_concepts(spark, sf_dir):
+    """What the command prints for a folder."""
+    return _printed(spark, "concepts", "-d", _folder(spark, sf_dir), "-k", "7")
+
+
+_FILE_FEATURES = f"feature AS (SELECT source_id, substr(content, {_at('public int process')} + 1, {_at(_END, len(_END))} - {_at('public int process')}) AS data FROM file)"
+
+
+def _of_files(sql: str) -> str:
+    assert _BENCHMARK in sql
+    return sql.replace(_BENCHMARK, f"{_FILES}, {_FILE_FEATURES}")
+
+
+_SHOWN = "name || chr(10) || content || chr(10) || chr(10)"
+
+
+@query(f"{_of_files(_TYPICAL)}, shown AS (SELECT name, content, row_number() OVER (ORDER BY score DESC) AS rank FROM typical JOIN file USING (source_id) QUALIFY rank <= 2), {_lines_sql(_SHOWN)}")
+def command_typical(spark, sf_dir):
+    """Names and code of the most typical files."""
+    return _printed(spark, "typical", "-d", _folder(spark, sf_dir), "-k", "2", "-e")
+
+
+@query(f"""{_of_files(_FOLD)}, sized AS (SELECT rep_id, count(*) AS size FROM region GROUP BY rep_id),
+    shown AS (SELECT name, content, row_number() OVER (ORDER BY size DESC, rep.rank) AS rank
+      FROM sized JOIN rep ON rep.source_id = rep_id JOIN file f ON f.source_id = rep_id QUALIFY row_number() OVER (ORDER BY size DESC, rep.rank) = 1), {_lines_sql(_SHOWN)}""")
+def command_represent(spark, sf_dir):
+    """Name and code of the file that stands for most others."""
+    return _printed(spark, "represent", "-d", _folder(spark, sf_dir))

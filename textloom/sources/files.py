@@ -76,6 +76,15 @@ def content_lines(sources: DataFrame) -> DataFrame:
 # Sinks
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> str:
+    """Writes one small text, to any store that Spark reaches; what was at path goes first."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
+    out.write(text.encode("utf-8"))
+    out.close()
+    return path
+
+
 def write_snippets(results: DataFrame, path: str) -> str:
     """Writes name: and the snippet's lines of each result (name, snippet, rank) as text; what was at path goes first."""
     shown = results.select("rank", F.concat("name", F.lit(":\n"), F.coalesce("snippet", F.lit(""))).alias("value"))
