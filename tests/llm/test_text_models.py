@@ -14,7 +14,7 @@ from textloom.llm import language_id as lid
 from textloom.llm import toxicity as tox
 from textloom.llm.chat_format import PARTS, escape, format_conversations, read_back, unescape
 from textloom.llm.html_extract import BLOCKS, extract_pages, extract_text
-from textloom.llm.licence_scan import KNOWN, SQL, scan_licences
+from textloom.llm.licence_scan import DIGESTS, HINTS, SQL, TEXTS, canonical_text, digest_of, known_digests, known_notices, scan_licences
 
 NAMES = "river stone house green winter market letter garden window silver morning travel".split()
 
@@ -343,7 +343,7 @@ def test_language_edge_cases(awkward):
 
 
 def test_licences(spark, documents):
-    mit = next(text for name, text in KNOWN if name == "MIT")
+    mit = next(text for name, text in TEXTS if name == "MIT")
     changed = mit.replace("License", "LICENCE").replace("MIT LICENCE", "MIT License\n\nCopyright (c) 2020 Some One\nAll rights reserved.").replace(",", " ,")
     docs = documents((1, mit), (2, changed), (3, mit + " And more."), (4, "Prose.\nReleased under the MIT Licence\n  LICENSED UNDER CC BY-NC 4.0 \nEnd."), (5, None), (6, ""), (None, "x"))
     rows = {r["doc_id"]: r for r in scan_licences(docs.withColumn("license", F.lit("clash")).withColumn("digest", F.lit(0))).collect()}
@@ -352,6 +352,61 @@ def test_licences(spark, documents):
     assert len(rows) == 7 and scan_licences(docs.limit(0)).count() == 0
 
 
+def against_sql(docs):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    got = sorted((tuple(r) for r in scan_licences(docs).collect()), key=repr)
+    assert got == sorted(con.execute(SQL["op9_licence_scan"]).fetchall(), key=repr)
+    return got
+
+
+def test_every_known_text_is_found_whole_and_its_canonical_form_is_the_same_on_executors(documents):
+    texts = [*TEXTS, *known_notices()[::97]]
+    got = against_sql(documents(*((k, text) for k, (_, text) in enumerate(texts))))
+    assert [r[2] for r in sorted(got)] == [licence for licence, _ in texts]
+    assert len({licence for licence, _ in TEXTS} | {licence for licence, _ in DIGESTS}) >= 20
+    assert len({digest for digest, _ in known_digests()}) == len(known_digests())
+    assert all(any(hint in canonical_text(text) for hint in HINTS) for _, text in (*TEXTS, *known_notices()))
+
+
+def test_digests_of_published_texts(documents):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no published texts here")
+    found = {name: open(f"{folder}/{name}", encoding="utf-8").read() for name in os.listdir(folder) if name not in ("BSD",)}
+    known = {digest: licence for licence, digest in DIGESTS}
+    assert {known.get(digest_of(text)) for text in found.values()} >= set(known.values())
+    headed = "Copyright The Foo Authors, 2020\n\n" + re.sub(r"\bLICENSE\b", "LICENCE", found["Apache-2.0"].upper())
+    got = against_sql(documents((1, found["GPL-3"]), (2, headed), (3, found["MPL-2.0"] + "\nmore")))
+    assert [r[2] for r in got] == ["GPL-3.0-only", "Apache-2.0", None]
+
+
+def test_copyright_lines_and_lists(documents):
+    mit = next(text for name, text in TEXTS if name == "MIT")
+    head, rest = mit.split("\n\n", 1)
+    lines = ["Copyright The Foo Authors, 2020", "(c) 2020 Foo", "Copyright © Foo", "* Copyright Foo. All rights reserved.", "© Foo", "Copyright (C) Foo"]
+    got = against_sql(documents(*((k, f"{head}\n\n{line}\n\n{rest}") for k, line in enumerate(lines)), (50, mit + "\n(c) you must keep it"), (51, mit + "\ncopyright holders must keep it")))
+    assert [r[2] for r in got] == ["MIT"] * len(lines) + [None, None]
+
+
+def test_notices_of_several_lines_inside_documents(documents):
+    mit = next(text for name, text in TEXTS if name == "MIT")
+    apache = next(text for name, text in TEXTS if name == "Apache-2.0")
+    code = "\n".join(" * " + line for line in apache.split("\n"))
+    rows = [(1, f"My title\n\n{mit}\n\nMore."), (2, f"/*\n{code}\n */\nint main;"), (2, f"/*\n{code}\n */\nint main;"), (None, "Prose under the licence of poets.\n\nOf two\nlines, license."), (3, "x\n\n\n" * 20_000 + "license")]
+    got = against_sql(documents(*rows))
+    assert [r[3] for r in got] == ["MIT", "Apache-2.0", "Apache-2.0", "", ""] and all(r[2] is None for r in got)
+
+
+def test_more_known_digests(spark, documents):
+    more = spark.createDataFrame([(digest_of("Our own license.\nAsk us."), "Own")], "digest string, license string")
+    assert scan_licences(documents((1, "OUR own licence; ask us")), known=more).first()["license"] == "Own"
+
+
 def test_notices_in_lines_of_any_length(documents):
     import duckdb
 
