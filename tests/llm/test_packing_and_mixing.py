@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import struct
@@ -167,6 +168,61 @@ def test_mix_is_near_its_targets_and_repeats(documents):
         assert abs(taken[s] - targets[s]) <= 20, s
 
 
+def brute_expected(words, target, most=3):
+    """Expected copies by class (words: class to words), the factor found by halving."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(w * min(most, mid * (8 + k)) for k, w in words.items()) < target else (low, mid)
+    return {k: min(most, high * (8 + k)) for k in words}
+
+
+@pytest.mark.parametrize("target", [0.0, 40.0, 333.0, 1000.0, 1499.0, 1500.0])
+def test_expected_copies_rise_with_length_and_add_up(spark, target):
+    from textloom.llm.mixing import expected_copies
+
+    words = {0: 7, 1: 0, 3: 93, 9: 400}
+    rows = spark.createDataFrame([("a", k, w, 500, target) for k, w in words.items()], "source string, class int, words long, source_size long, target double")
+    got = {r["class"]: r for r in expected_copies(rows).collect()}
+    want = brute_expected(words, target)
+    for k in words:
+        assert got[k]["copies"] + got[k]["share"] == pytest.approx(want[k], abs=1e-6) and 0 <= got[k]["share"] < 1
+        assert got[k]["wanted"] == pytest.approx(target - sum(int(got[j]["copies"]) * words[j] for j in words))
+
+
+def test_the_sample_has_unequal_probabilities(documents):
+    """Of two lengths in one source, each is taken about as often as its share says; which is not the order of the random numbers."""
+    docs = documents(*((k, "w " * (2 if k % 2 else 300), "en", "b" if k % 40 else "a") for k in range(4000)))
+    rows = mix_sources(docs).where("source_size > 100000").collect()
+    target = rows[0]["target"]
+    size = {n: sum(r["size"] for r in rows if r["size"] == n) for n in (2, 300)}
+    want = brute_expected({1: size[2], 8: size[300]}, target)
+    taken = {n: [r["taken"] // n for r in rows if r["size"] == n] for n in (2, 300)}
+    for n, k in ((2, 1), (300, 8)):
+        share = want[k] - int(want[k])
+        assert set(taken[n]) <= {int(want[k]), int(want[k]) + 1}
+        assert abs(sum(taken[n]) / len(taken[n]) - want[k]) < 5 * (share * (1 - share) / len(taken[n])) ** 0.5 + 0.01
+    assert sum(taken[300]) / len(taken[300]) > 1.5 * sum(taken[2]) / len(taken[2])
+    u = lambda d: int(hashlib.sha256(str(d).encode()).hexdigest()[:12], 16)
+    extra = {r["doc_id"]: r["taken"] // r["size"] - int(want[1 if r["size"] == 2 else 8]) for r in rows}
+    assert max(u(d) for d, x in extra.items() if x) > min(u(d) for d, x in extra.items() if not x)
+
+
+def test_sources_are_ranked_by_code_point(spark):
+    from textloom.llm.mixing import ranked
+
+    names = [*(f"s{k}" for k in range(300)), "B", "é", "", None, "z", "Z"]
+    rows = spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(5)
+    got = {r["source"]: r["place"] for r in ranked(rows).collect()}
+    assert got == {n: k for k, n in enumerate(sorted(names, key=lambda s: (s is None, (s or "").encode())))}
+
+
+def test_a_repeated_id_does_not_meet_in_one_task_row_by_row(documents):
+    docs = documents(*((1, "w w w", "en", "a") for _ in range(500)), *((k, "w " * 5, "en", "b") for k in range(2, 60)))
+    rows = mix_sources(docs).collect()
+    assert len(rows) == 558 and len({r["taken"] for r in rows if r["doc_id"] == 1}) == 1
+
+
 def test_mixed_documents_are_what_the_mix_takes(documents):
     docs = made(documents, 10, 200)
     times = {r["doc_id"]: r["taken"] // r["size"] for r in mix_sources(docs).collect() if r["size"]}
