@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm.bin_completion import best_fit, complete
+from textloom.llm.bin_completion import EXACT, best_fit, complete, lower_bound
 from textloom.llm.mixing import SQL, mix_sources, mixed_documents, source_targets
 from textloom.llm.packing import COMMON, default_tokenizer, load_tokenizer, pack_documents
 
@@ -39,8 +39,18 @@ def test_bin_completion_is_optimal_on_small_cases():
     rng = random.Random(5)
     for _ in range(150):
         lengths = [rng.randint(1, 14) for _ in range(rng.randint(1, 9))]
-        bins = complete(lengths, 14, nodes_per_bin=1000, width=99, keep=999)
+        bins = complete(lengths, 14, EXACT)
         assert is_packing(bins, lengths, 14) and len(bins) == fewest(lengths, 14)
+        assert lower_bound(lengths, 14) <= len(bins) <= len(complete(lengths, 14)) <= len(best_fit(lengths, 14))
+
+
+@pytest.mark.parametrize(("low", "high", "capacity", "most"), [(600, 1100, 2048, 900), (400, 1000, 2048, 707), (200, 700, 1000, 914), (20, 50, 100, 730), (300, 800, 2048, 546), (1, 2048, 2048, 1011)])
+def test_bin_completion_as_shipped(low, high, capacity, most):
+    """Sequences for 2000 lengths; best fit alone takes 923, 736, 923, 749, 556 and 1011, the bound of the last."""
+    rng = random.Random(1)
+    lengths = [rng.randint(low, high) for _ in range(2000)]
+    bins = complete(lengths, capacity)
+    assert is_packing(bins, lengths, capacity) and len(bins) <= most
 
 
 def test_bin_completion_beats_best_fit_and_never_loses_to_it():
@@ -119,6 +129,18 @@ def test_packing_in_several_buckets(documents):
     assert n <= -(-total // 64) + 12
 
 
+def test_repeated_rows_are_packed_in_all_buckets(documents):
+    from textloom.llm.packing import cut_pieces, pack_pieces
+    from textloom.llm.shared import write_table
+
+    docs = documents(*((1, "word " * 20) for _ in range(600)), *((k, "word " * 9) for k in range(2, 40)))
+    rows = pack_pieces(write_table(cut_pieces(docs, capacity=64), "pieces"), 64, bucket_pieces=80).collect()
+    per_bucket = {}
+    for r in rows:
+        per_bucket[r["sequence_id"] >> 32] = per_bucket.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(rows) == 638 and len(per_bucket) == 8 and max(per_bucket.values()) < 160
+
+
 # Mixing
 
 

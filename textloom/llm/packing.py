@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.bin_completion import complete
+from textloom.llm.bin_completion import SEARCHES, Search, complete
 from textloom.llm.shared import per_worker, slices, table, write_table
 
 CAPACITY = 2048
@@ -93,11 +93,12 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKET_PIECES, searches: tuple[Search, ...] = SEARCHES) -> DataFrame:
     """pieces (a written table) with sequence_id and offset.
 
-    Pieces are dealt to buckets of about bucket_pieces by a hash of document and piece, so that neither a long
-    document nor many of one length meet in one task; each bucket is packed alone. pieces is read twice.
+    Pieces are dealt to buckets of about bucket_pieces by a hash of document, piece and row, so that neither a long
+    document nor many of one length nor a row repeated any number of times meet in one task; each bucket is packed alone
+    by the searches (EXACT for a proven optimum). pieces is read twice.
     """
     buckets = max(1, round(pieces.count() / bucket_pieces))
 
@@ -109,7 +110,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int
             waiting.setdefault(lengths[k], []).append(k)
         places, offsets, at = [0] * len(lengths), [0] * len(lengths), bucket.column("bucket")[0].as_py() << 32
         full = waiting.pop(capacity, [])
-        for n, bin_ in enumerate([*([capacity] for _ in full), *complete([lengths[k] for own in waiting.values() for k in own], capacity)]):
+        for n, bin_ in enumerate([*([capacity] for _ in full), *complete([lengths[k] for own in waiting.values() for k in own], capacity, searches)]):
             offset = 0
             for length in bin_:
                 k = (full if length == capacity else waiting[length]).pop()
@@ -118,18 +119,18 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int
         return bucket.append_column("sequence_id", pa.array(places, pa.int64())).append_column("offset", pa.array(offsets, pa.int64())).drop_columns(["bucket"])
 
     names = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema]
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(pack, ", ".join([*names, "sequence_id long", "offset long"]))
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, searches: tuple[Search, ...] = SEARCHES) -> DataFrame:
     """All documents in as few sequences of at most capacity ids as the search finds; one row for each piece.
 
     - Null and empty texts are one end id. A text of any length is cut, never shortened.
     - Repeated rows are packed as often as they occur; a null id is kept.
     - No rows give no rows; other columns are ignored, whatever their names.
     """
-    return pack_pieces(write_table(cut_pieces(docs, id_col, text_col, capacity, tokenizer, with_ids), "pieces"), capacity)
+    return pack_pieces(write_table(cut_pieces(docs, id_col, text_col, capacity, tokenizer, with_ids), "pieces"), capacity, searches=searches)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
