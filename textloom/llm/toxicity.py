@@ -77,11 +77,34 @@ def noisy_or(logits: list[float]) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """doc text and label of at most `most` labelled documents outside the held-out fold."""
+    """text and label of at most `most` labelled documents outside the held-out fold, one for each id; of rows repeated in
+    id, the first by text, of repeated labels the greatest."""
     known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     chosen = least_hashes(known, "_id", most)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "text", "label")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    return rows.groupBy("_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def loss_and_gradient(weight, at, col, sentence_doc, plain, label):
+    """Mean negative log likelihood of document labels under noisy-or, and its gradient, each document's part of it cut at 10.
+
+    weight: of features, then the bias. at, col: which sentence has which feature; sentence_doc: the document of each such
+    sentence; plain: how many sentences of a document have none, and the bias alone for log odds.
+    """
+    import numpy as np
+
+    docs, sentences = len(label), len(sentence_doc)
+    sum_of = lambda where, values, n: np.bincount(where, values, n) if len(where) else np.zeros(n)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    z = weight[-1] + sum_of(at, weight[col], sentences)
+    # A document is clean with the probability exp(-miss).
+    miss = sum_of(sentence_doc, np.logaddexp(0, z), docs) + plain * np.logaddexp(0, weight[-1])
+    bounded = np.clip(miss, 1e-9, 50)
+    loss = np.where(label > 0, -np.log(-np.expm1(-bounded)), miss).mean()
+    pull = np.maximum(np.where(label > 0, -1 / np.expm1(bounded), 1.0) / docs, -10.0)
+    each = pull[sentence_doc] * sigmoid(z)
+    return loss, np.append(sum_of(col, each[at], len(weight) - 1), each.sum() + (pull * plain).sum() * sigmoid(weight[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> tuple[dict[str, float], float, dict[str, float]]:
@@ -93,9 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     import numpy as np
 
-    found = write_table(training_rows(docs, labels, id_col, text_col, most), "toxicity-sample")
-    sample = write_table(found.orderBy(F.xxhash64("_id"), "_id").limit(most).repartition(16, "_id"), "toxicity-train")
-    drop_tables(found)
+    sample = write_table(training_rows(docs, labels, id_col, text_col, most).repartition(16, "_id"), "toxicity-train")
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -162,15 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first = np.log(start / (1 - start)) - START_BIAS
     weight = np.append(first, START_BIAS)
     m, v = np.zeros_like(weight), np.zeros_like(weight)
-    softplus = lambda z: np.logaddexp(0, z)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, STEPS + 1):
-        z = weight[-1] + np.bincount(at, weight[col], len(sentence_doc)) if len(at) else np.full(len(sentence_doc), weight[-1])
-        miss = np.bincount(sentence_doc, softplus(z), len(rows)) + plain * softplus(weight[-1])
-        pull = np.where(label > 0, -1 / np.expm1(np.clip(miss, 1e-9, 50)), 1.0) / len(rows)
-        pull = np.maximum(pull, -10.0)
-        each = pull[sentence_doc] * sigmoid(z)
-        grad = np.append(np.bincount(col, each[at], len(words)) if len(at) else np.zeros(len(words)), each.sum() + (pull * plain).sum() * sigmoid(weight[-1])) + DECAY * np.append(weight[:-1] - first, 0)
+        _, grad = loss_and_gradient(weight, at, col, sentence_doc, plain, label)
+        grad += DECAY * np.append(weight[:-1] - first, 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         weight -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return {w: float(x) for w, x in zip(words, weight)}, float(weight[-1]), ties
