@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from textloom.llm.shared import drop_tables, held_out, least_hashes, per_worker, slices, table, write_table
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their ids.
-TRAIN_ROWS = 20_000
-#: Entries of the model, at most: the most frequent words and n-grams of the sample, each seen at least twice.
-MODEL_ENTRIES = 400_000
+TRAIN_ROWS = 8_000
+#: Words and n-grams that the sample has so often in a language are learnt, every one of them.
+LEAST_SEEN = 2
 LONGEST = 5
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -34,11 +34,22 @@ def grams_of(word: str, n: int) -> list[str]:
     return list(word) if n == 1 else [marked[k : k + n] for k in range(len(marked) - n + 1)]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS, entries: int = MODEL_ENTRIES) -> list[tuple[str, str, int]]:
-    """(entry, language, count): entries are words after "=" and n-grams after their length. Held-out documents are not read."""
+def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> DataFrame:
+    """text and lang of at most `most` documents with a language outside the held-out fold, one for each id; of rows
+    repeated in id, the first by language, then by text."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    ids = least_hashes(known.select(F.col(id_col).alias("_id")), "_id", most)
-    chosen = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids.distinct()), "_id").limit(most).repartition(16)
+    ids = least_hashes(known.select(F.col(id_col).alias("_id")).distinct(), "_id", most)
+    rows = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), "_id")
+    return rows.groupBy("_id").agg(F.min(F.struct("lang", "text")).alias("first")).select("first.text", "first.lang")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> list[tuple[str, str, int]]:
+    """(entry, language, count): entries are words after "=" and n-grams after their length. Held-out documents are not read.
+
+    What the sample says often enough is learnt, so the sample's bound is the model's bound too. Words are counted by
+    executors; texts never meet in one task.
+    """
+    chosen = training_rows(docs, id_col, text_col, lang_col, most).repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -55,8 +66,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in rows], pa.string()), pa.array([lang for _, lang in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], names=["entry", "lang", "n"])
 
     counts = write_table(chosen.mapInArrow(count, "entry string, lang string, n long").groupBy("entry", "lang").agg(F.sum("n").alias("n")), "language-counts")
-    kept = counts.where("n >= 2").orderBy(F.desc("n"), "entry", "lang").limit(entries)
-    model = [tuple(r) for r in kept.collect()]
+    model = sorted(tuple(r) for r in counts.where(F.col("n") >= LEAST_SEEN).collect())
     drop_tables(counts)
     return model
 
@@ -135,7 +145,7 @@ def identify_language(docs: DataFrame, model: list[tuple[str, str, int]], id_col
     - Equal texts get equal results; ties go to the language first in order. Null ids are kept, repeated rows repeated.
     - No rows give no rows; other columns are ignored, whatever their names.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_ENTRIES
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     key = uuid.uuid4().hex
     kind = docs.schema[id_col].dataType.simpleString()
 
