@@ -7,6 +7,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textloom.llm import fingerprints as fp
@@ -297,6 +298,64 @@ def test_noisy_or():
     assert [s for _, s in tox.sentences_of("a. b!\nc")] == ["a.", " b!", "c"] and tox.sentences_of("") == [(0, "")]
 
 
+def test_scores_against_brute_force(documents):
+    """Noisy-or of sentences whose log odds are the bias and the weights of their words' strongest features."""
+    ties = {"=bad": 9.0, "worse": 5.0, "wors": 7.0, "good": 4.0, "=goodness": 4.5}
+    weights, bias = {"=bad": 3.0, "worse": 1.5, "wors": 2.5, "good": -2.0, "=goodness": 0.5}, -1.25
+    rng = random.Random(11)
+    words = ["bad", "worse", "worst", "worsening", "good", "goodness", "goods", "plain", "Bad", "x"]
+    rows = [(k, " ".join(rng.choice(words) + rng.choice(["", "", ".", "!\n"]) for _ in range(rng.randint(0, 12)))) for k in range(150)]
+    got = {r["doc_id"]: r for r in tox.score_toxicity(documents(*rows), (weights, bias, ties)).collect()}
+    for k, text in rows:
+        clean, sentences = 1.0, re.findall(r"[^.!?\n]+[.!?]*", text) or [""]
+        odds = []
+        for sentence in sentences:
+            chosen = set()
+            for w in re.findall(r"\w+", sentence.lower()):
+                known = [f for f in ["=" + w, *(w[:n] for n in range(4, 9) if len(w) >= n)] if f in ties]
+                if known:
+                    chosen.add(sorted(known, key=lambda f: (ties[f], len(f)))[-1])
+            odds.append(bias + sum(weights[f] for f in chosen))
+            clean *= 1 - 1 / (1 + math.exp(-odds[-1]))
+        worst = sentences[odds.index(max(odds))]
+        assert got[k]["score"] == pytest.approx(1 - clean) and got[k]["n_offending"] == sum(z > 0 for z in odds)
+        assert text[got[k]["worst_start"] :][: got[k]["worst_length"]] in (worst, *[s for s, z in zip(sentences, odds) if z == pytest.approx(max(odds))])
+
+
+def test_gradient_against_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    label, plain = np.array([1.0, 0.0, 1.0, 0.0, 0.0]), np.array([0.0, 2.0, 1.0, 0.0, 3.0])
+    sentence_doc, at, col = np.array([0, 0, 2, 3]), np.array([0, 0, 1, 2, 3]), np.array([0, 2, 1, 0, 2])
+    weight = np.append(rng.normal(0, 1, 3), -1.0)
+    docs = [[[] for _ in range(int(n))] + [[int(c) for s, c in zip(at, col) if s == k] for k in range(4) if sentence_doc[k] == d] for d, n in enumerate(plain)]
+
+    def brute(w):
+        total = 0.0
+        for sentences, y in zip(docs, label):
+            clean = math.prod(1 - 1 / (1 + math.exp(-(w[-1] + sum(w[c] for c in s)))) for s in sentences)
+            total -= math.log(1 - clean) if y else math.log(clean)
+        return total / len(label)
+
+    loss, grad = tox.loss_and_gradient(weight, at, col, sentence_doc, plain, label)
+    assert loss == pytest.approx(brute(weight))
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-6
+        assert grad[k] == pytest.approx((brute(weight + step) - brute(weight - step)) / 2e-6, abs=1e-6)
+
+
+def test_rows_repeated_in_id_count_once(spark, documents):
+    docs, labels = toxic_corpus(documents, 150)
+    again = docs.unionByName(docs.where("doc_id % 3 = 1")).unionByName(docs.where("doc_id = 7").withColumn("text", F.lit("zzzz zzzz")))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert tox.fit(again.where("doc_id <> 7"), known) == tox.fit(docs.where("doc_id <> 7"), known)
+    assert tox.training_rows(again, known, "doc_id", "text", 8000).count() == tox.training_rows(docs, known, "doc_id", "text", 8000).count()
+    langs = language_corpus(documents)
+    assert sorted(lid.fit(langs.unionByName(langs))) == sorted(lid.fit(langs))
+    assert lid.training_rows(langs.unionByName(langs), "doc_id", "text", "lang", 40).count() == 40
+
+
 def test_toxicity_edge_cases(spark, awkward):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (6, 0), (6, 1), (99, 1)], "doc_id long, toxic int")
     for some in (labels, labels.limit(0), labels.where("toxic = 0")):
@@ -331,6 +390,36 @@ def test_backoff_goes_from_words_to_shorter_grams():
     assert lid.Scorer([]).predict("abc") == ("und", 0.0)
 
 
+def brute_language(model, text):
+    """Word by word: its own log frequency by language, else the mean over the longest of its n-grams that are known."""
+    langs = sorted({lang for _, lang, _ in model})
+    counts = {(e, lang): n for e, lang, n in model}
+    kinds = {kind: {e for e, _, _ in model if e[0] == kind} for kind in "=12345"}
+    log = lambda e, lang: math.log((counts.get((e, lang), 0) + 0.5) / (sum(n for x, y, n in model if x[0] == e[0] and y == lang) + 0.5 * len(kinds[e[0]])))
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    total = dict.fromkeys(langs, 0.0)
+    for w in set(words):
+        entries = ["=" + w] if "=" + w in kinds["="] else []
+        for n in range(5, 0, -1):
+            marked = w if n == 1 else f"^{w}$"
+            entries = entries or [f"{n}{marked[k : k + n]}" for k in range(len(marked) - n + 1) if f"{n}{marked[k : k + n]}" in kinds[str(n)]]
+        for lang in langs:
+            total[lang] += math.log1p(words.count(w)) * (sum(log(e, lang) for e in entries) / len(entries) if entries else 0.0)
+    best = max(langs, key=lambda lang: total[lang])
+    return best, 1 / sum(math.exp(total[lang] - total[best]) for lang in langs)
+
+
+def test_language_against_brute_force(documents):
+    docs = language_corpus(documents).limit(80)
+    model = lid.fit(docs)
+    scorer, rng = lid.Scorer(model), random.Random(13)
+    texts = [r["text"] for r in docs.limit(25).collect()] + ["".join(rng.choices("kalomiéq schx", k=30)) + "a" for _ in range(25)]
+    for text in texts:
+        lang, score = brute_language(model, text)
+        got = scorer.predict(text)
+        assert got[1] == pytest.approx(score) and (got[0] == lang or score < 0.500001)
+
+
 def test_language_edge_cases(awkward):
     rows = lid.identify_language(awkward, lid.fit(awkward)).collect()
     assert len(rows) == awkward.count()
@@ -454,28 +543,73 @@ def test_anchors_do_not_depend_on_context():
     passage = "".join(rng.choices("abcdefgh ", k=400))
     inside = fp.syncmers("x" * 300 + passage + "y" * 300)
     alone = fp.syncmers(passage)
-    assert {(p + 300, h) for p, h in zip(*map(list, alone))} <= {(p, h) for p, h in zip(*map(list, inside))}
+    assert set(alone) == {24, 8}
+    for size in alone:
+        assert {(p + 300, h) for p, h in zip(*map(list, alone[size]))} <= {(p, h) for p, h in zip(*map(list, inside[size]))}
+
+
+def test_texts_of_lengths_within_the_overlap_have_a_common_scale():
+    rng = random.Random(9)
+    text = "".join(rng.choices("abcdefgh ", k=1500))
+    of = lambda t: fp.encode(fp.syncmers(t))
+    for n in (300, 1500):
+        for m in (180, 150, 100):
+            if n <= fp.OVERLAP * 192:
+                assert fp.likeness(of(text[:n]), of(text[:m])) == pytest.approx(m / n, abs=0.12) and fp.likeness(of(text[:n]), of(text[:m])) > 0
+    assert fp.likeness(of(text[:100]), of(text[:20])) > 0 and fp.likeness(of("abc"), of("abd")) == 0.0
+    assert set(fp.syncmers(text * 3)) == {24} and set(fp.syncmers("ab")) == {0} and fp.syncmers("") == {}
 
 
 def test_likeness():
     rng = random.Random(7)
     a, b = ("".join(rng.choices("abcdefghij ", k=900)) for _ in range(2))
-    of = lambda t: fp.encode(*fp.syncmers(t))
+    of = lambda t: fp.encode(fp.syncmers(t))
     assert fp.likeness(of(a), of(a)) == 1.0 and fp.likeness(of(a), of(b)) < 0.05 and fp.likeness("", "") == 1.0 and fp.likeness("", of(a)) == 0.0
     assert 0.4 < fp.likeness(of(a), of(fp.edit(a, b))) < 0.65
     assert fp.likeness(of(a), of(a[450:] + a[:450])) < 0.6
-    places, hashes = fp.syncmers(a)
-    assert [x.tolist() for x in fp.anchors(of(a))] == [places.tolist(), hashes.tolist()]
+    both = lambda found: {size: [x.tolist() for x in pair] for size, pair in found.items()}
+    assert both(fp.anchors(of(a))) == both(fp.syncmers(a)) and len(both(fp.syncmers(a))) == 2
+
+
+def brute_likeness(a, b):
+    """The longest rising chain by trying all ends, on the first scale in common."""
+    if a == b:
+        return 1.0
+    one, two = fp.syncmers(a), fp.syncmers(b)
+    size = next((k for k in one if k in two), None)
+    if size is None:
+        return 0.0
+    left, right = ([int(h) for h in x[size][1]] for x in (one, two))
+    pairs = []
+    for h in set(left):
+        pairs += zip([k for k, x in enumerate(left) if x == h], [k for k, x in enumerate(right) if x == h])
+    pairs.sort()
+    best = []
+    for k, (_, j) in enumerate(pairs):
+        best.append(1 + max([best[m] for m in range(k) if pairs[m][1] < j], default=0))
+    chain = max(best, default=0)
+    return chain / (len(left) + len(right) - chain)
+
+
+def test_likeness_against_brute_force():
+    rng = random.Random(10)
+    of = lambda t: fp.encode(fp.syncmers(t))
+    for _ in range(60):
+        a = "".join(rng.choices("abc d", k=rng.randint(0, 400)))
+        for b in (fp.edit(a, "".join(rng.choices("abc d", k=200))), a[len(a) // 2 :] + a[: len(a) // 2], a[: len(a) // 3]):
+            assert fp.likeness(of(a), of(b)) == pytest.approx(brute_likeness(a, b))
 
 
 def brute_edits(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    hash_of = lambda text: signed(xxhash.xxh64_intdigest(text.encode(), seed=42))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hash_of(r[1] or ""), r[1] or ""))
     out = []
     for k, (i, text) in enumerate(order):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
         n = len(text) // 3
         edited = text[: len(text) - n] + after[:n]
-        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), round(brute_likeness(text, edited), 9), round(brute_likeness(text, after), 9)))
     return sorted(out, key=repr)
 
 
@@ -484,9 +618,10 @@ def test_edits_against_brute_force(documents, monkeypatch, task_rows):
     monkeypatch.setattr(fp, "TASK_ROWS", task_rows)
     rng = random.Random(8)
     rows = [(rng.randint(-40, 40) if rng.random() > 0.1 else None, rng.choice([None, "", "a", "".join(rng.choices("abc é", k=rng.randint(1, 90)))])) for _ in range(60)]
-    for some in (rows, rows[:1], [(5, "abcdef"), (5, "abcdef")]):
+    hot = [(7 if k % 3 else None, f"text {k} " * (k % 5)) for k in range(80)]
+    for some in (rows, rows[:1], [(5, "abcdef"), (5, "abcdef")], hot, [*rows, *hot, *[(9, "x" * 30)] * 20, (10, "é" * 20_000)]):
         got = fp.fingerprint_edits(documents(*some).withColumn("range", F.lit(1))).collect()
-        assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == brute_edits(some)
+        assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got), key=repr) == brute_edits(some)
         assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert fp.fingerprint_edits(documents((1, "a")).limit(0)).count() == 0
 

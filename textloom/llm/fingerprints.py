@@ -10,38 +10,37 @@ from pyspark.sql import functions as F
 
 from textloom.llm.shared import even_keys, slices, table
 
-#: For texts of at least so many code points: length of a k-mer, and of the inner substrings whose least hash must lie
-#: at an edge. 2 of K - S + 1 k-mers are chosen, and two neighbours lie at most K - S places apart. Shorter texts need
-#: shorter k-mers to have any anchors left after an edit.
-SCALES = ((192, 24, 8), (24, 8, 3), (2, 2, 1))
+#: Scales, coarsest first: least code points of a text, length of a k-mer, and of the inner substrings whose least hash must
+#: lie at an edge. 2 of K - S + 1 k-mers are chosen, and two neighbours lie at most K - S places apart. Texts also have the
+#: anchors of finer scales, up to OVERLAP times the least length of the next coarser one: two texts without a common
+#: scale differ in length by that much, so that hardly more than 1 / OVERLAP of the longer one could be alike.
+SCALES = ((192, 24, 8), (24, 8, 3), (4, 4, 2))
+OVERLAP = 8
 #: Documents of one range of ids, on average, and ranges at most: what the driver holds of a corpus of any size.
 TASK_ROWS, MOST_RANGES = 4_000, 10_000
 
 
-def syncmers(text: str):
-    """(places, hashes) of the anchors of text in order, as arrays; hashes have 24 bits.
+def syncmers(text: str) -> dict:
+    """Length of k-mers to (places, hashes) of the anchors of text in order, for each scale of the text; hashes have 24 bits.
 
-    They are the closed syncmers of the text's scale. A text under 1.5 times the least length of its scale, which an edit
-    may take below it, has those of the next scale too.
-
-    A text shorter than any scale has one anchor for the whole of it; an empty one has none. Whether a k-mer is chosen
-    depends on it alone, so equal passages have equal anchors wherever they stand in texts of one scale.
+    Anchors are closed syncmers: whether a k-mer is chosen depends on it alone, so equal passages have equal anchors
+    wherever they stand. A text without any (shorter than any scale, or nearly) has one anchor for the whole of it, under
+    length 0; an empty one has none.
     """
     import zlib
 
     import numpy as np
 
-    n = len(text)
-    if n < SCALES[-1][0]:
-        return (np.zeros(n, np.int64), np.full(n, zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0xFFFFFF, np.uint32))
+    n, out = len(text), {}
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    fit = next(k for k, (least, _, _) in enumerate(SCALES) if n >= least)
-    found = [closed_syncmers(points, *SCALES[fit][1:])]
-    if 2 * n < 3 * SCALES[fit][0] and fit + 1 < len(SCALES):
-        found.append(closed_syncmers(points, *SCALES[fit + 1][1:]))
-    places, hashes = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(places, kind="stable")
-    return places[order], hashes[order]
+    for k, (least, size, inner_size) in enumerate(SCALES):
+        if least <= n and (not k or n < OVERLAP * SCALES[k - 1][0]):
+            found = closed_syncmers(points, size, inner_size)
+            if len(found[0]):
+                out[size] = found
+    if n and not out:
+        out[0] = (np.zeros(1, np.int64), np.full(1, zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0xFFFFFF, np.uint32))
+    return out
 
 
 def closed_syncmers(points, size: int, inner_size: int):
@@ -72,28 +71,36 @@ def closed_syncmers(points, size: int, inner_size: int):
     return places, (value & np.uint64(0xFFFFFF)).astype(np.uint32)
 
 
-def encode(places, hashes) -> str:
-    """The fingerprint: base64 of, for each anchor, its hash (24 bits) and the steps from the one before (8 bits)."""
+def encode(found: dict) -> str:
+    """The fingerprint: for each scale its length, and base64 of each anchor's hash (24 bits) and steps from the one before (8 bits)."""
     import base64
 
     import numpy as np
 
-    gaps = np.diff(places, prepend=0).astype(np.uint32)
-    return base64.b64encode((hashes << np.uint32(8) | np.minimum(gaps, 255)).astype("<u4").tobytes()).decode()
+    def packed(places, hashes) -> str:
+        gaps = np.minimum(np.diff(places, prepend=0), 255).astype(np.uint32)
+        return base64.b64encode((hashes << np.uint32(8) | gaps).astype("<u4").tobytes()).decode()
+
+    return ",".join(f"{size}:{packed(*anchors_)}" for size, anchors_ in found.items())
 
 
-def anchors(fingerprint: str):
-    """(places, hashes) of a fingerprint."""
+def anchors(fingerprint: str) -> dict:
+    """What encode() was given."""
     import base64
 
     import numpy as np
 
-    both = np.frombuffer(base64.b64decode(fingerprint), "<u4")
-    return np.cumsum(both & 255), both >> 8
+    out = {}
+    for part in filter(None, fingerprint.split(",")):
+        size, _, coded = part.partition(":")
+        both = np.frombuffer(base64.b64decode(coded), "<u4")
+        out[int(size)] = (np.cumsum(both & 255), both >> 8)
+    return out
 
 
 def likeness(a: str, b: str) -> float:
-    """Anchors that match in order, over all anchors of both: 1 for equal fingerprints, 0 if no anchor is shared.
+    """Anchors that match in order, over all anchors of both, on the coarsest scale that both have: 1 for equal
+    fingerprints, 0 if no scale or no anchor is shared.
 
     The n-th anchor of a hash in one matches the n-th in the other; of the matches, a longest chain that rises in both
     texts counts. Two empty fingerprints are alike.
@@ -102,7 +109,11 @@ def likeness(a: str, b: str) -> float:
 
     if a == b:
         return 1.0
-    left, right = anchors(a)[1].tolist(), anchors(b)[1].tolist()
+    one, two = anchors(a), anchors(b)
+    common = [size for size in one if size in two]
+    if not common:
+        return 0.0
+    left, right = one[common[0]][1].tolist(), two[common[0]][1].tolist()
     waiting: dict[int, list[int]] = {}
     for k in range(len(right) - 1, -1, -1):
         waiting.setdefault(right[k], []).append(k)
@@ -112,7 +123,7 @@ def likeness(a: str, b: str) -> float:
             k = own.pop()
             at = bisect_left(chain, k)
             chain[at : at + 1] = [k]
-    return len(chain) / (len(left) + len(right) - len(chain)) if left or right else 1.0
+    return len(chain) / (len(left) + len(right) - len(chain))
 
 
 def edit(text: str, next_text: str) -> str:
@@ -132,7 +143,7 @@ def fingerprint_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(*syncmers(t)) for t in texts], pa.string())], names=["id", "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode(syncmers(t)) for t in texts], pa.string())], names=["id", "n_chars", "fingerprint"])
 
     out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, n_chars long, fingerprint string")
     return out.withColumnRenamed("id", id_col)
@@ -142,35 +153,49 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Fingerprints of each text and of the text as edited with the next document's start, and how alike they are.
 
     The next document is the one with the next smaller id; after the smallest comes the largest. Rows of one id follow
-    by text. Ids are cut into ranges by their quantiles; each range goes to a task in order, and the first row of a
-    range also goes to the range before it, which needs it as its last row's next. Only one number for each range, and
-    never a text, reaches the driver.
+    by a hash of the text, then by text. Ids are cut into ranges by their quantiles, an id that is several quantiles (and
+    no id at all) into ranges of that hash; each range goes to a task in order, and the first row of a
+    range also goes to the range before it, which needs it as its last row's next. Only two numbers for each range, and
+    never a text, reach the driver.
 
-    - Null ids come after all others. Null text counts as empty. No rows give no rows.
+    - Null ids come after all others. Null text counts as empty. No rows give no rows. Rows equal in id and text are of
+      one range, which a task reads row by row and never holds.
     - Rows repeated in id and text are neighbours of each other. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = rows.count()
+    counted = rows.agg(F.count("*").alias("n"), F.count("id").alias("known")).first()
+    n, unknown = counted["n"], counted["n"] - counted["known"]
     ranges = min(MOST_RANGES, max(1, -(-n // TASK_ROWS)))
-    cuts = sorted(set(rows.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []), reverse=True) if ranges > 1 else []
-    # Range 0 has the largest ids, which come first. A range is found in two steps, among blocks of cuts, then in one.
+    quantiles = (rows.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or []) if ranges > 1 else []
+    cuts = sorted(set(quantiles), reverse=True)
+    # Group 0 has the ids above all cuts; group k those from the k-th cut down, the cut's own id apart if it is often; the last has no id.
+    often = [quantiles.count(c) for c in cuts]
+    wide = [1, *(m + 1 if m > 1 else 1 for m in often), max(1, min(MOST_RANGES, -(-unknown // TASK_ROWS)))]
+    start = [sum(wide[:k]) for k in range(len(wide) + 1)]
+    longs = lambda values: F.array(*[F.lit(c).cast("long") for c in values]).cast("array<long>")
+    # A group is found in two steps, among blocks of cuts, then in one.
     block = max(1, round(len(cuts) ** 0.5))
     blocks = [cuts[k : k + block] for k in range(0, len(cuts), block)] or [[]]
-    longs = lambda values: F.array(*[F.lit(c).cast("long") for c in values]).cast("array<long>")
     above = lambda values: F.size(F.filter(values, lambda c: c >= F.col("id")))
     in_block = above(longs([x[0] for x in blocks[1:] if x]))
-    number = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(in_block * block + above(F.element_at(F.array(*map(longs, blocks)), in_block + 1))).cast("int")
-    ranged = rows.withColumn("range", number)
-    firsts = {r["range"]: r["id"] for r in ranged.groupBy("range").agg(F.max("id").alias("id")).collect()}
-    order = sorted(firsts)
+    group = F.when(F.col("id").isNull(), F.lit(len(cuts) + 1)).otherwise(in_block * block + above(F.element_at(F.array(*map(longs, blocks)), in_block + 1))).cast("int")
+    hashed = rows.withColumn("h", F.xxhash64("text")).withColumn("group", group)
+    at = lambda values: F.element_at(longs(values), F.col("group") + 1)
+    part = lambda of: F.least(F.floor((F.col("h").cast("double") + 2.0**63) / 2.0**64 * of), of - 1)
+    own_cut = F.col("id") == at([0, *cuts, 0])
+    inside = F.when(F.col("id").isNull(), part(at(wide))).when(at(wide) == 1, 0).when(own_cut, part(at(wide) - 1)).otherwise(at(wide) - 1)
+    ranged = hashed.withColumn("range", (at(start[:-1]) + inside).cast("int")).withColumn("turned", F.bitwise_not("h")).drop("group")
+    firsts = {r["range"]: r["first"] for r in ranged.groupBy("range").agg(F.max(F.struct("id", "turned")).alias("first")).collect()}
+    order, n_ranges = sorted(firsts), start[-1]
     before = {r: order[k - 1] for k, r in enumerate(order)}  # the range that needs this one's first row; the first is needed by the last
-    of_range = lambda values: F.element_at(F.array(*[F.lit(values.get(r)) for r in range(len(cuts) + 1)]), F.col("range") + 1)
-    is_first, to = of_range(firsts).cast("long").eqNullSafe(F.col("id")), of_range(before).cast("int")
+    of_range = lambda values: F.element_at(F.array(*[F.lit(values.get(r)).cast("long") for r in range(n_ranges)]), F.col("range") + 1)
+    first_id, first_hash = ({r: x[k] for r, x in firsts.items()} for k in (0, 1))
+    is_first, to = of_range(first_id).eqNullSafe(F.col("id")) & (of_range(first_hash) == F.col("turned")), of_range(before).cast("int")
     own = F.struct(F.col("range").alias("range"), F.lit(True).alias("own"))
-    dealt = ranged.select("id", "text", F.explode(F.when(is_first, F.array(own, F.struct(to.alias("range"), F.lit(False).alias("own")))).otherwise(F.array(own))).alias("to"))
+    dealt = ranged.select("id", "h", "text", F.explode(F.when(is_first, F.array(own, F.struct(to.alias("range"), F.lit(False).alias("own")))).otherwise(F.array(own))).alias("to"))
     # Every range goes to a task of its own: dealt by hash of its number, some tasks would get several and some none.
-    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(docs.sparkSession, len(cuts) + 1)])
-    dealt = dealt.select("id", "text", "to.*").repartition(len(cuts) + 1, F.element_at(keys, F.col("range") + 1)).sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("id"), "text")
+    keys = F.array(*[F.lit(k).cast("long") for k in even_keys(docs.sparkSession, n_ranges)])
+    dealt = dealt.select("id", "h", "text", "to.*").repartition(n_ranges, F.element_at(keys, F.col("range") + 1)).sortWithinPartitions("range", F.desc("own"), F.desc_nulls_last("id"), "h", "text").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -183,7 +208,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
             _, id_, text, mark = row
             edited = edit(text, next_text)
-            edited_mark = mark if edited == text else encode(*syncmers(edited))
+            edited_mark = mark if edited == text else encode(syncmers(edited))
             for column, value in zip(out, (id_, len(text), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark, edited_mark, likeness(mark, edited_mark), likeness(mark, next_print))):
                 column.append(value)
 
@@ -192,7 +217,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for id_, text, range_, is_own in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "range", "own"))):
                 if not is_own and closed == range_:
                     continue
-                mark = encode(*syncmers(text))
+                mark = encode(syncmers(text))
                 if waiting is not None:
                     emit(waiting, text, mark)
                 waiting = (range_, id_, text, mark) if is_own else None
