@@ -49,6 +49,18 @@ def test_drop_copies_keeps_what_dedup_keeps(awkward):
     assert drop_copies(awkward.limit(0)).count() == 0
 
 
+def test_dedup_in_several_parts_with_a_filter_each(awkward, documents):
+    many = documents(*((k, f"text {k % 2500}") for k in range(6000)), *((9, "often") for _ in range(300)), *((k, "OFTEN" if k % 2 else "often") for k in range(300)))
+    for docs in (awkward, many):
+        rows = docs.select("doc_id", "text").collect()
+        assert rows_of(exact_dedup(docs, max_bits=2**15)) == brute_dedup(rows)
+        kept = drop_copies(docs, max_bits=2**15)
+        assert kept.columns == docs.columns
+        assert kept.count() == len({(r["text"] or "").translate(LOW) for r in rows})
+    assert {r["doc_id"] for r in drop_copies(many, max_bits=2**15).where("text like 'text%'").collect()} == {k for k in range(6000) if k + 2500 >= 6000}
+    assert drop_copies(awkward.limit(0), max_bits=2**15).count() == 0
+
+
 def test_bloom_filter_misses_nothing_and_is_bounded(spark):
     df = spark.range(5000).select((F.col("id") % 4000).alias("k"))
     for bits in (2**15, 2**30):
@@ -199,3 +211,27 @@ def test_fold_rule(spark):
 
     rows = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_common_shingles_and_large_groups_against_brute_force(spark, documents, monkeypatch):
+    """Passages that most documents share, families with one prefix, and copies: with every shingle of two sets of a batch
+    taken as common, and without."""
+    from textloom.llm import jaccard_join
+
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    passage, rows = rng.choices(words, k=60), []
+    for k in range(40):
+        rows.append((len(rows), " ".join([*passage, *rng.choices(words, k=rng.choice([5, 10, 14, 20, 60]))])))
+    family = rng.choices(words, k=90)
+    for k in range(50):
+        copy = list(family)
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            copy[rng.randrange(90)] = rng.choice(words)
+        rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows) + k, rows[60][1]) for k in range(30)]
+    want = brute_components(rows)
+    for common in (2, 16):
+        monkeypatch.setattr(jaccard_join, "COMMON", common)
+        for parts in (1, 4):
+            assert got_components(documents(*rows).repartition(parts)) == want, (common, parts)

@@ -17,6 +17,10 @@ PERCENT = 80
 EXTRA = 15
 #: Shingles that one task counts at once, on average; documents that one task compares with one another, on average.
 RANGE_TOKENS, CHUNK = 500_000, 256
+#: A shingle that so many different sets of one batch (BATCH rows at most) have is common: its sets do not meet in its range,
+#: which therefore holds at most about COMMON / BATCH of all sets for any shingle. Common ones come last in the order of
+#: shingles, as if they were in TOO_OFTEN sets.
+COMMON, BATCH, TOO_OFTEN = 16, 4_000, 1 << 40
 #: Orders of shingles whose least member brings similar documents together before the join.
 ORDERS = 3
 WORDS_HELD = 150_000
@@ -102,46 +106,76 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, percen
 
 
 def dealt_tokens(rows: DataFrame, owner: str, tokens: str, ranges: int) -> DataFrame:
-    """range, tokens, owners: hashes of all rows, dealt by their leading bits, in one packed row for each batch and range."""
+    """range, tokens, owners, common: hashes of all rows, dealt by their leading bits, in one packed row for each batch and range.
+
+    Of a hash that is common in its batch, the range gets one note (common), and the pairs go to a range below 0 that is
+    told by the owner: however many sets have it, they are spread over all tasks.
+    """
     shift = 64 - max(0, ranges - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in slices(batches, 4_000):
+        for batch in slices(batches, BATCH):
             owners, parts = batch.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             if not parts:
                 continue
-            all_tokens = np.concatenate(parts)
-            all_owners = np.repeat(np.array(owners, np.int64), [len(x) for x in parts])
-            in_range = (all_tokens >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(all_tokens), np.int64)
-            order = np.argsort(in_range, kind="stable")
-            found, first = np.unique(in_range[order], return_index=True)
-            ends = [*first[1:], len(order)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.int64()), pa.array([all_tokens[order[a:b]].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array([all_owners[order[a:b]].tobytes() for a, b in zip(first, ends)], pa.binary())],
-                names=["range", "tokens", "owners"],
-            )
+            values, holders, often = _distinct(np.concatenate(parts), np.repeat(np.array(owners, np.int64), [len(x) for x in parts]))
+            common = often >= COMMON
+            noted = np.unique(values[common])
+            of = lambda x: (x >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(x), np.int64)
+            out: list[list] = [[], [], [], []]
+
+            def put(key, value, holder, note) -> None:
+                for column, x in zip(out, (int(key), value.tobytes(), holder.tobytes(), note.tobytes())):
+                    column.append(x)
+
+            rare, rare_of, noted_of = values[~common], holders[~common], of(noted)
+            in_range, none = of(rare), np.empty(0, np.uint64)  # both rise, as values do
+            for key in np.union1d(np.unique(in_range), np.unique(noted_of)):
+                a, b = np.searchsorted(in_range, [key, key + 1])
+                c, d = np.searchsorted(noted_of, [key, key + 1])
+                put(key, rare[a:b], rare_of[a:b], noted[c:d])
+            beside = _bucket_of(holders[common], ranges)
+            for key in np.unique(beside):
+                at = beside == key
+                put(-1 - key, values[common][at], holders[common][at], none)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["range", "tokens", "owners", "common"])
+
+    return rows.select(owner, tokens).mapInArrow(run, "range long, tokens binary, owners binary, common binary")
+
+
+def _bucket_of(owners, buckets: int):
+    import numpy as np
 
-    return rows.select(owner, tokens).mapInArrow(run, "range long, tokens binary, owners binary")
+    return (owners.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
 
 
-def _met(packed: pa.Table):
-    """Distinct (token, owner) pairs of a range in order, and in how many of them each pair's token is."""
+def _distinct(tokens, owners):
+    """Distinct (token, owner) pairs in order, and in how many of them each pair's token is."""
     import numpy as np
 
-    tokens = np.frombuffer(b"".join(packed.column("tokens").to_pylist()), np.uint64)
-    owners = np.frombuffer(b"".join(packed.column("owners").to_pylist()), np.int64)
     order = np.lexsort((owners, tokens))
     tokens, owners = tokens[order], owners[order]
     new = np.ones(len(tokens), bool)
     new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
     tokens, owners = tokens[new], owners[new]
-    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, int)
     often = np.diff(np.append(first, len(tokens)))
     return tokens, owners, np.repeat(often, often)
 
 
+def _met(packed: pa.Table):
+    """Distinct (token, owner) pairs of a range in order, and in how many of them each pair's token is: TOO_OFTEN for common ones."""
+    import numpy as np
+
+    tokens, owners, often = _distinct(_unpacked(packed, "tokens", "u8"), _unpacked(packed, "owners", "i8"))
+    if len(packed) and packed.column("range")[0].as_py() < 0:
+        return tokens, owners, np.full(len(tokens), TOO_OFTEN, np.int64)
+    noted = np.unique(_unpacked(packed, "common", "u8"))
+    return tokens, owners, np.where(np.isin(tokens, noted), TOO_OFTEN, often).astype(np.int64)
+
+
 def _packed_by_bucket(owners, buckets: int, **columns) -> pa.Table:
     """A row for each bucket of owners, with each column's values of the bucket in one binary.
 
@@ -150,7 +184,7 @@ def _packed_by_bucket(owners, buckets: int, **columns) -> pa.Table:
     """
     import numpy as np
 
-    of = (owners.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
+    of = _bucket_of(owners, buckets)
     order = np.argsort(of, kind="stable")
     found, first = np.unique(of[order], return_index=True)
     ends = [*first[1:], len(order)]
@@ -176,7 +210,8 @@ def classes_that_may_link(sets: DataFrame, groups: DataFrame, percent: int) -> D
     """rep, sig, n of the classes of equal sets (groups) that may link to another one.
 
     By any order of shingles, the first n - least_shared(n) + k of two linked sets share k. By the order of hashes,
-    then, a class must share extra(least_shared(n)) of its head with other classes, or it has no link.
+    then, a class must share extra(least_shared(n)) of its head with other classes, or it has no link. A set that has copies
+    may count a common shingle more than once, which rules out less, never more.
     """
     total = sets.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0))).first()[0] // 8
 
@@ -278,7 +313,7 @@ def prefixes(whole: DataFrame, percent: int) -> DataFrame:
 
         for batch in slices(batches):
             reps = np.array(batch.column(0).to_pylist(), np.int64)
-            of = (reps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % buckets
+            of = _bucket_of(reps, buckets)
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *batch.columns], names=["bucket", "rep", "n", "tokens"])
 
     known = dealt_tokens(whole, "rep", "tokens", buckets).groupBy("range").applyInArrow(counted, "bucket long, owners binary, tokens binary, often binary")
@@ -347,12 +382,15 @@ def prefix_join(ordered: DataFrame, connected: DataFrame, percent: int) -> DataF
 
     Sets with one prefix and size (and component) are one group. Groups meet by a shingle of their prefixes; the places
     it has bound the overlap of a pair whose first common shingle it is. In a bucket, groups of its most frequent
-    component meet only groups of others. Members of the group pairs left are verified on their whole sets.
+    component meet only groups of others. Of the group pairs left, the members that the groups are called by are verified
+    on their whole sets first; where those do not link, all members are.
     """
     parts = ordered.join(connected.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     keys = ["group_key", "n", "component"]
     members = write_table(parts.select("rep", *keys, "prefix", "start"), "members")
-    groups = members.groupBy(*keys).agg(F.min("rep").alias("group"), F.first("prefix").alias("prefix"), F.first("start").alias("start"))
+    # A large family of near copies may have one prefix, size and component: its members meet their group in parts.
+    salted, spread, groups = spread_groups(members, keys, "rep", {"group": (F.min, "rep"), "prefix": (F.first, "prefix"), "start": (F.first, "start")}, members.count())
+    groups = write_table(groups, "groups")
     rows = groups.select("group", "n", "component", "start", F.posexplode("prefix").alias("at", "token")).select("token", "group", "n", "component", (F.col("start") + F.col("at")).alias("place"))
     rows = write_table(rows, "prefix-rows")
     shares = rows.groupBy("token", "component").agg(F.count("*").alias("groups"))
@@ -365,9 +403,7 @@ def prefix_join(ordered: DataFrame, connected: DataFrame, percent: int) -> DataF
     once = (F.col("component_b") == F.col("main_b")) | (F.col("group_a") < F.col("group_b"))
     enough = at_most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     met = a.join(b, "token").where((F.col("component_a") != F.col("component_b")) & once & size_fits & enough).select("group_a", "group_b").distinct()
-    of = members.join(groups.select(*keys, "group"), keys).select("rep", "group")
-    pairs = met.join(of.select(F.col("group").alias("group_a"), F.col("rep").alias("a")), "group_a").join(of.select(F.col("group").alias("group_b"), F.col("rep").alias("b")), "group_b").select("a", "b")
-    pairs = write_table(pairs, "pairs")
+    met = write_table(met, "group-pairs")
     sets = lambda x: ordered.select(F.col("rep").alias(x), F.col("tokens").alias(f"t{x}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,8 +416,15 @@ def prefix_join(ordered: DataFrame, connected: DataFrame, percent: int) -> DataF
                 kept.append(overlap(x, y) >= least_overlap(len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    links = write_table(pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "links")
-    drop_tables(members, rows, active, pairs)
+    verified = lambda pairs: pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    # A group is called by one of its members, and lies within a component: where these two link, no other two need to.
+    first = write_table(verified(met.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))), "first-links")
+    left = met.join(first.select(F.col("a").alias("group_a"), F.col("b").alias("group_b")), ["group_a", "group_b"], "left_anti")
+    of = salted.select("rep", *keys, "salt").join(spread.join(groups.select(*keys, "group"), keys), [*keys, "salt"]).select("rep", "group")
+    pairs = left.join(of.select(F.col("group").alias("group_a"), F.col("rep").alias("a")), "group_a").join(of.select(F.col("group").alias("group_b"), F.col("rep").alias("b")), "group_b").select("a", "b")
+    pairs = write_table(pairs.join(first, ["a", "b"], "left_anti").where((F.col("a") != F.col("b"))), "pairs")
+    links = write_table(first.unionByName(verified(pairs)), "links")
+    drop_tables(members, groups, rows, active, met, pairs, first)
     return links
 
 
