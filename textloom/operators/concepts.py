@@ -32,11 +32,17 @@ def tokens(named: DataFrame, dictionary: DataFrame | None = None, spans: DataFra
 
 
 def source_concepts(sources: DataFrame, dictionary: DataFrame | None = None, relevant: list[str] | None = None, k: int = 10, compat: bool = True) -> DataFrame:
-    """source_id, word, n, rank: the k most frequent words of each source; none of a source without the method asked for."""
-    parsed = write_table(parse_sources(sources, relevant, compat).select("source_id", "names", "segments"), "parsed")  # no source is parsed twice
+    """source_id, word, n, rank: the k most frequent words of each source; none of a source without the method asked for, and
+    none of one whose segments could not be told: source_errors() says which and why."""
+    parsed = write_table(parse_sources(sources, relevant, compat).where("error is null").select("source_id", "names", "segments"), "parsed")  # no source is parsed twice
     return top_of_each(tokens(names(parsed), dictionary, irrelevant_locations(parsed)), k)
 
 
+def source_errors(sources: DataFrame, relevant: list[str] | None = None, compat: bool = True) -> DataFrame:
+    """source_id, error of the sources that source_concepts() has no words of."""
+    return parse_sources(sources, relevant, compat).where("error is not null").select("source_id", "error")
+
+
 def corpus_concepts(sources: DataFrame, dictionary: DataFrame | None = None, relevant: list[str] | None = None, k: int = 10, compat: bool = True) -> DataFrame:
     """word, n: the k words that are among the ten most frequent of most sources."""
     return most_frequent(document_frequency(source_concepts(sources, dictionary, relevant, compat=compat)), k)

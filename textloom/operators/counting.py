@@ -32,8 +32,8 @@ def without_stop_words(items: DataFrame, languages: list[str], word_col: str = "
 
 def count_words(items: DataFrame, languages: list[str] | None = None, count_col: str | None = None) -> DataFrame:
     """word, n over the items that are no stop words (of English and Java if no languages are given)."""
-    kept = without_stop_words(items, ["english", "java"] if languages is None else languages)
-    return kept.groupBy("word").agg((F.sum(count_col) if count_col else F.count("*")).cast("long").alias("n"))
+    counted = items.groupBy("word").agg((F.sum(count_col) if count_col else F.count("*")).cast("long").alias("n"))
+    return without_stop_words(counted, ["english", "java"] if languages is None else languages)  # each different word is looked up once
 
 
 def combine(*counters: DataFrame) -> DataFrame:
@@ -76,6 +76,12 @@ def prose_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, F.explode(words(F.col(text_col))).alias("word"))
 
 
+def prose_tops(docs: DataFrame, k: int = TOP_OF_SOURCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, word, n, rank: the k most frequent words of each document. Documents are dealt by id before they are cut into
+    words: one exchange, of the texts, serves the counts and the window."""
+    return top_of_each(prose_words(docs.select(id_col, text_col).repartition(id_col), id_col, text_col), k, id_col)
+
+
 def prose_concepts(docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The k words that are among the top words of most documents."""
-    return most_frequent(document_frequency(top_of_each(prose_words(docs, id_col, text_col), id_col=id_col)), k)
+    return most_frequent(document_frequency(prose_tops(docs, id_col=id_col, text_col=text_col)), k)

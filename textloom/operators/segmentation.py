@@ -5,6 +5,8 @@ Python code runs here and in the parser alone, one source at a time, with nothin
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,16 +25,31 @@ UNIT = "struct<kind: string, name: string, ordinal: int, start_off: int, end_off
 PARSED = f"source_id long, unit {UNIT}, units array<{UNIT}>, segments array<{SEGMENT}>, edges array<{EDGE}>, names array<{NAME}>, error string"
 
 
+class Lines:
+    """Line numbers, from 1, by offset."""
+
+    def __init__(self, text: str):
+        self.ends = [m.start() for m in re.finditer("\n", text)]
+
+    def __call__(self, offset: int) -> int:
+        return bisect_left(self.ends, offset) + 1
+
+
 class SegmentGraph:
-    """Blocks of a unit in order of insertion, and edges from a block to those within it or called by it."""
+    """Blocks of a unit in order of insertion, and edges from a block to those within it or called by it.
 
-    def __init__(self, top: Node, unit: Node, text: str):
-        self.top, self.unit, self.text = top, unit, text
+    With compat, a method without a body and an edge that closes a cycle (recursive calls) are errors; else such a
+    method has no segment and such an edge is left out.
+    """
+
+    def __init__(self, top: Node, unit: Node, line: Lines, compat: bool = True):
+        self.top, self.unit, self.line, self.compat = top, unit, line, compat
         self.nodes: list[Node] = []
         self.place: dict[Node, int] = {}
         self.weight: list[float] = []
         self.benefit: list[float] = []
-        self.edges: list[tuple[int, int]] = []
+        self.edges: dict[tuple[int, int], None] = {}  # in order of insertion
+        self.after: dict[int, list[int]] = {}
         self.root: int | None = None
         self.visited: set[Node] = set()
         self.outsiders: list[Node] = []
@@ -42,9 +59,6 @@ class SegmentGraph:
             self.callees.setdefault((m.name, m.parameters), m)
         self.follow(unit)
 
-    def line(self, offset: int) -> int:
-        return self.text.count("\n", 0, offset) + 1
-
     def lines_of(self, node: Node) -> int:
         return self.line(max(node.start, node.end - 1)) - self.line(node.start) + 1
 
@@ -70,7 +84,7 @@ class SegmentGraph:
                 return True
             if v not in seen:
                 seen.add(v)
-                stack += [b for a, b in self.edges if a == v]
+                stack += self.after.get(v, ())
         return False
 
     def connect(self, source: Node, target: Node) -> None:
@@ -80,8 +94,11 @@ class SegmentGraph:
             return
         if (a, b) not in self.edges:
             if self.reaches(b, a):
-                raise ParseError("calls between blocks form a cycle")
-            self.edges.append((a, b))
+                if self.compat:
+                    raise ParseError("calls between blocks form a cycle")
+                return
+            self.edges[a, b] = None
+            self.after.setdefault(a, []).append(b)
         self.benefit[b] += sum(abs(self.names[name] - 1) for part in target.parts for name in said_names(part)) / max(1, target.depth)
         if source.covers(target):
             self.weight[b] = max(0.0, self.weight[a] - self.weight[b])
@@ -100,7 +117,9 @@ class SegmentGraph:
             around = enclosing_block(node)
             if around is None:
                 if body is None:
-                    raise ParseError(f"method {node.name} has no body")
+                    if self.compat:
+                        raise ParseError(f"method {node.name} has no body")
+                    return
                 self.rooted(node)
                 around = node
             if body is not None:
@@ -210,7 +229,7 @@ def describe(text: str, relevant: frozenset[str], compat: bool = True) -> dict:
     out = {"unit": None, "units": [], "segments": [], "edges": [], "names": [], "error": None}
     try:
         top = parse(text)
-        line = lambda offset: text.count("\n", 0, offset) + 1
+        line = Lines(text)
         row = lambda n, k: {"kind": n.kind, "name": n.name, "ordinal": k, "start_off": n.start, "end_off": n.end, "start_line": line(n.start), "end_line": line(max(n.start, n.end - 1))}
         out["units"] = [row(n, k) for k, n in enumerate([top, *methods(top)])]
         unit = locate_unit(top, relevant)
@@ -220,7 +239,7 @@ def describe(text: str, relevant: frozenset[str], compat: bool = True) -> dict:
         out["unit"] = next(u for u in out["units"] if (u["start_off"], u["end_off"], u["kind"]) == (unit.start, unit.end, unit.kind))
         names = sorted((n for n in unit.walk() if n.kind == "name"), key=lambda n: n.start)
         out["names"] = [{"pos": k, "name": n.name, "start_off": n.start, "end_off": n.end} for k, n in enumerate(names)]
-        graph = SegmentGraph(top, unit, text)
+        graph = SegmentGraph(top, unit, line, compat)
         dropped = graph.irrelevant(compat)
         out["segments"] = [
             {

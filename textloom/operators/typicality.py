@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,8 +14,10 @@ from textloom.tables import spread, write_table
 
 BANDWIDTH = 0.3
 TYPICAL = 5
-#: Sources of one block: a task compares the sources of two blocks.
+#: Sources of one block, at least: a task compares the sources of two blocks.
 BLOCK_ROWS = 24
+#: Pairs of blocks for each task that can run at once, so that a few slow ones do not hold up the rest.
+PAIRS_A_TASK = 4
 
 
 @dataclass(frozen=True)
@@ -30,9 +33,12 @@ def pair_scores(features: DataFrame, score: Callable[[Column, Column], Column] =
 
     Every pair has to be scored, so the work is square in the number of features. Features are dealt into blocks; a row
     goes once to each pair of blocks with its own, and pairs of blocks are joined on their key. That spreads the work
-    evenly over tasks without a cross join, and each row moves as often as there are blocks, not rows.
+    evenly over tasks without a cross join. There are as many pairs of blocks as the tasks need, so a row moves about
+    sqrt(2 * tasks) times, however many rows there are.
     """
-    blocks = max(1, -(-features.count() // block_rows))
+    spark = features.sparkSession
+    tasks = PAIRS_A_TASK * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, min(-(-features.count() // block_rows), math.ceil((2 * tasks) ** 0.5)))
     rows = features.select("source_id", "data", F.pmod(F.xxhash64("source_id"), F.lit(blocks)).cast("int").alias("block"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = rows.select(F.col("source_id").alias("i"), F.col("data").alias("a"), F.col("block").alias("p"), F.explode(F.filter(others, lambda k: k >= F.col("block"))).alias("q"))
@@ -70,19 +76,33 @@ def regions(features: DataFrame, typical: DataFrame, score: Callable[[Column, Co
 
     The typical ones are gone through in order of rank, and the one held gives way to the next if the member is more like
     the next than the one held is like the next; a comparison with NaN is false. compat=False: to the likest. Without
-    typical sources all members are under null. The typical ones are few (k), and come to every member as one array.
+    typical sources all members are under null. Each member meets each of the k typical ones by rank, an ordinary join that
+    Spark broadcasts if the typical ones are small; what they are like one another, k * k numbers, comes from the driver.
     """
-    listed = features.join(typical, "source_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source_id", "data"))).alias("reps"))
+    reps = write_table(features.join(typical, "source_id").select("rank", F.col("source_id").alias("rep_id"), F.col("data").alias("rep_data")), "typical-features")
     members = features.join(typical.select("source_id"), "source_id", "left_anti").select(F.col("source_id").alias("member_id"), "data")
+    ranks = sorted(r["rank"] for r in reps.select("rank").collect())
+    if not ranks:
+        return members.select(F.lit(None).cast(features.schema["source_id"].dataType).alias("rep_id"), "member_id")
+    every = F.explode(F.array(*[F.lit(r) for r in ranks])).alias("rank")
+    met = members.select("member_id", "data", every).join(reps, "rank").select("member_id", "rank", "rep_id", score(F.col("data"), F.col("rep_data")).cast("double").alias("like"))
+    if compat:
+        later = reps.select(F.col("rank").alias("next"), F.col("rep_data").alias("next_data"))
+        both = reps.select("rank", "rep_data", F.explode(F.array(*[F.lit(r) for r in ranks])).alias("next")).where("rank < next").join(later, "next")
+        known = {(r["rank"], r["next"]): r["like"] for r in both.select("rank", "next", score(F.col("rep_data"), F.col("next_data")).cast("double").alias("like")).collect()}
+        among = F.array(*[F.array(*[F.lit(known.get((a, b))).cast("double") for b in ranks]) for a in ranks])
+        place = lambda x: F.array_position(F.array(*[F.lit(r) for r in ranks]), x["rank"]).cast("int")
+        against = lambda best, x: F.element_at(F.element_at(among, place(best)), place(x))
+    else:
+        against = lambda best, x: best["like"]
     more = lambda x, y: F.when(F.isnan(x) | F.isnan(y), F.lit(False)).otherwise(x > y)
-    held = F.try_element_at(F.col("reps"), F.lit(1))
-    against = (lambda best, x: score(best["data"], x["data"])) if compat else (lambda best, x: score(F.col("data"), best["data"]))
-    chosen = F.aggregate("reps", held, lambda best, x: F.when((x["rank"] != best["rank"]) & more(score(F.col("data"), x["data"]), against(best, x)), x).otherwise(best))
-    return members.crossJoin(F.broadcast(listed)).select(chosen["source_id"].alias("rep_id"), "member_id")
+    listed = met.groupBy("member_id").agg(F.array_sort(F.collect_list(F.struct("rank", "rep_id", "like"))).alias("reps"))
+    chosen = F.aggregate("reps", F.element_at("reps", 1), lambda best, x: F.when((x["rank"] != best["rank"]) & more(x["like"], against(best, x)), x).otherwise(best))
+    return listed.select(chosen["rep_id"].alias("rep_id"), "member_id")
 
 
 def region_lists(region: DataFrame) -> DataFrame:
-    """rep_id, members."""
+    """rep_id, members: for regions small enough to be one value; else take the rows of regions() as they are."""
     return region.groupBy("rep_id").agg(F.array_sort(F.collect_list("member_id")).alias("members"))
 
 

@@ -166,7 +166,7 @@ _TOP10 = f"SELECT doc_id, word, n, rank FROM (SELECT *, CAST(row_number() OVER (
 @query(_TOP10)
 def doc_top10(spark, sf_dir):
     """A8."""
-    return counting.top_of_each(counting.prose_words(_read(spark, sf_dir, "documents")), id_col="doc_id")
+    return counting.prose_tops(_read(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT word, count(*) AS n FROM ({_TOP10}) GROUP BY word ORDER BY n DESC, word LIMIT 10")
