@@ -85,7 +85,7 @@ class Dag:
         return self.edges.where(((F.col("from_ord") == source) | (F.col("to_ord") == source)) & (F.col("to_ord") == target)).orderBy("from_ord").limit(1)
 
     def has_cycle(self) -> bool:
-        return bool(cyclic_edges(self.edges).limit(1).count())
+        return has_cycle(self.edges)
 
     def rendered(self) -> DataFrame:
         """Vertices by depth, then by order of insertion."""
@@ -129,10 +129,46 @@ def edge_weights(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("from_ord", "to_ord", F.when(F.col("from_ord") == F.col("to_ord"), 0.0).otherwise(F.coalesce("own", F.lit(NO_EDGE))).alias("weight"))
 
 
+def has_cycle(edges: DataFrame) -> bool:
+    """Is there a way from a vertex back to it?
+
+    In each round vertices without a way in or without a way on go, and then those with one way in become one with the
+    vertex that it comes from (in every other round, those with one way on with the vertex that it leads to). Pointers
+    to it are followed in doubling steps, so chains and trees of any length take as many steps as their length has
+    binary digits. Each step is written to the shared folder.
+    """
+    left = write_table(edges.select(F.col("from_ord").alias("a"), F.col("to_ord").alias("b")).distinct(), "edges")
+    while True:
+        n = left.count()
+        if not n or left.where("a = b").limit(1).count():
+            drop_tables(left)
+            return bool(n)
+        inner = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        inner = write_table(inner.select("a", "b"), "edges")
+        drop_tables(left)
+        up = inner.groupBy("b").agg(F.count("*").alias("ways"), F.min("a").alias("up")).where("ways = 1").select(F.col("b").alias("v"), "up")
+        up = write_table(up, "pointers")
+        pointers, closed = up.count(), False
+        for _ in range(pointers.bit_length()):
+            on = up.select(F.col("v").alias("up"), F.col("up").alias("further"))
+            further = write_table(up.join(on, "up", "left").select("v", F.coalesce("further", "up").alias("up")), "pointers")
+            drop_tables(up)
+            up = further
+        if pointers:  # by now every pointer has come to its end, or has none
+            closed = bool(up.join(up.select(F.col("v").alias("up")), "up", "left_semi").limit(1).count())
+        many = inner.join(up.select(F.col("v").alias("b")), "b", "left_anti")
+        merged = many.join(up.select(F.col("v").alias("a"), "up"), "a", "left").select(F.col("b").alias("a"), F.coalesce("up", "a").alias("b")).distinct()
+        left = write_table(merged, "edges")  # turned round, for the next round
+        drop_tables(inner, up)
+        if closed or (left.count() == n and not pointers):
+            drop_tables(left)
+            return True
+
+
 def cyclic_edges(edges: DataFrame) -> DataFrame:
     """Edges on a cycle or between cycles: what is left once edges that end in a vertex without a way on, or start in one
     without a way in, are dropped again and again. As many rounds as the longest way that is on no cycle has edges; each
-    round is written to the shared folder."""
+    round is written to the shared folder. Whether there are any is told by has_cycle() in far fewer."""
     left = write_table(edges.select("from_ord", "to_ord").distinct(), "edges")
     n = left.count()
     while n:

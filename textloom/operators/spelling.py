@@ -52,9 +52,19 @@ def _best(order: str | None = None) -> Column:
     return F.max_by("candidate", F.struct("freq", -F.col(order))) if order else F.min_by("candidate", F.struct(-F.col("freq"), F.col("candidate")))
 
 
+def _longest(words: DataFrame) -> int:
+    return words.agg(F.max(F.length("word"))).first()[0] or 0
+
+
 def known_mutations(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """word, candidate, freq, place: the mutations of each word that are in the dictionary."""
-    made = spread(words.select("word"), "word").select("word", F.posexplode(mutations(F.col("word"))).alias("place", "candidate"))
+    """word, candidate, freq, place: the mutations of each word that are in the dictionary.
+
+    A word longer than the longest of the dictionary and one more has none and is not mutated: texts hold words of
+    thousands of letters, of which each mutation is as long.
+    """
+    dictionary = write_table(dictionary.select("word", "freq"), "dictionary")
+    possible = words.select("word").where(F.length("word") <= _longest(dictionary) + 1)
+    made = spread(possible, "word").select("word", F.posexplode(mutations(F.col("word"))).alias("place", "candidate"))
     first = made.groupBy("word", "candidate").agg(F.min("place").alias("place"))
     return first.join(dictionary.withColumnRenamed("word", "candidate"), "candidate")
 
@@ -85,24 +95,37 @@ def two_edits(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """word, candidate, freq: dictionary words up to two edits away, met by what deletions leave of both.
 
     No candidate is generated that is not in the dictionary: a word has some hundred shortened forms, but some hundred
-    thousand mutations of mutations.
+    thousand mutations of mutations. On either side, only words up to two letters longer than the other's longest are shortened.
     """
-    left = spread(words.select("word"), "word").select("word", F.explode(_shortened(F.col("word"))).alias("form"))
+    words, dictionary = write_table(words.select("word"), "words"), write_table(dictionary.select("word", "freq"), "dictionary")
+    longest, longest_known = _longest(words), _longest(dictionary)
+    words, dictionary = words.where(F.length("word") <= longest_known + 2), dictionary.where(F.length("word") <= longest + 2)
+    left = spread(words, "word").select("word", F.explode(_shortened(F.col("word"))).alias("form"))
     right = dictionary.select(F.col("word").alias("candidate"), "freq", F.explode(_shortened(F.col("word"))).alias("form"))
     return left.join(right, "form").select("word", "candidate", "freq").distinct().transform(lambda df: spread(df, "word", "candidate")).where(within_two(F.col("word"), F.col("candidate")))
 
 
-def best_by_prefix(dictionary: DataFrame) -> DataFrame:
-    """prefix, candidate: for each beginning of dictionary words, the empty one too, the most frequent word with it."""
-    prefix = F.transform(F.sequence(F.lit(0), F.length("word")), lambda k: F.substr(F.col("word"), F.lit(1), k))
-    return dictionary.select(F.explode(prefix).alias("prefix"), F.col("word").alias("candidate"), "freq").groupBy("prefix").agg(_best().alias("candidate"))
+def best_by_prefix(dictionary: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """prefix, candidate: for each beginning of dictionary words, the empty one too, the most frequent word with it.
+
+    With asked (prefix), only beginnings of those lengths are made, and only those asked for are kept.
+    """
+    lengths = F.sequence(F.lit(0), F.length("word"))
+    if asked is not None:
+        known = [r["n"] for r in asked.select(F.length("prefix").alias("n")).distinct().collect()]  # a number for each length
+        lengths = F.filter(F.array(*[F.lit(n) for n in sorted(known)]).cast("array<int>"), lambda n: n <= F.length("word"))
+    made = dictionary.select(F.explode(F.transform(lengths, lambda k: F.substr(F.col("word"), F.lit(1), k))).alias("prefix"), F.col("word").alias("candidate"), "freq")
+    if asked is not None:
+        made = made.join(asked.distinct(), "prefix", "left_semi")
+    return made.groupBy("prefix").agg(_best().alias("candidate"))
 
 
 def prefix_correction(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """word, candidate: the most frequent word that begins with the word, else with all but its last letter, else null."""
     shorter = F.substr(F.col("word"), F.lit(1), F.greatest(F.length("word") - 1, F.lit(0)))
     asked = words.select("word", F.explode(F.array(F.struct(F.lit(0).alias("order"), F.col("word").alias("prefix")), F.struct(F.lit(1).alias("order"), shorter.alias("prefix")))).alias("a")).select("word", "a.*")
-    met = asked.join(best_by_prefix(dictionary), "prefix", "left")
+    asked = write_table(asked, "prefixes")
+    met = asked.join(best_by_prefix(dictionary, asked.select("prefix")), "prefix", "left")
     return met.groupBy("word").agg(F.min_by("candidate", F.when(F.col("candidate").isNotNull(), F.col("order"))).alias("candidate"))
 
 
@@ -117,8 +140,11 @@ def correct(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     unknown = asked.join(dictionary.select("word"), "word", "left_anti")
     by_prefix = prefix_correction(unknown, dictionary)
     odd = unknown.where(only_consonants(F.col("word")))
-    one = known_mutations(odd, dictionary).groupBy("word").agg(_best("place").alias("one"))
-    two = two_edits(odd, dictionary).groupBy("word").agg(_best().alias("two"))
+    # An edit brings one vowel at most into a word that has none.
+    vowels = F.regexp_count("word", F.lit("[aeiou]"))
+    near, nearer = dictionary.where(vowels <= 2), dictionary.where(vowels <= 1)
+    one = known_mutations(odd, nearer).groupBy("word").agg(_best("place").alias("one"))
+    two = two_edits(odd, near).groupBy("word").agg(_best().alias("two"))
     met = by_prefix.join(one, "word", "left").join(two, "word", "left")
     choices = F.filter(F.array_distinct(F.array("candidate", "one", "two")), lambda c: c.isNotNull())
     likest = F.element_at(F.array_sort(F.transform(choices, lambda c: F.struct((-similarity(F.col("word"), c)).alias("unlike"), c.alias("choice")))), 1)["choice"]
