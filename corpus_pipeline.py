@@ -2,6 +2,9 @@
 
 Each stage takes all that its predecessor kept and returns the columns of documents, but for the last, which returns
 the pieces of the packed sequences.
+
+All stages take any columns beside doc_id, text and source, whatever their names, and give them back as they are; no rows
+give no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -17,29 +20,49 @@ from textloom.llm.toxicity import fit, score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are toxic less likely than not."""
+    """Documents that are toxic less likely than not.
+
+    Null and empty texts are scored as one empty sentence, which is clean unless all labels are toxic, and stay as they
+    are. Equal rows share their fate, repeated ones all stay or all go; a null id does not matter. Without labels of
+    both kinds there is nothing to learn, and all go only if all labels are toxic.
+    """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_toxicity(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
     return scored.where("score < 0.5").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts (A-Z lower-cased), the document with the largest id.
+
+    Null counts as empty, so one of all null and empty texts stays; a null id is the least. Of rows repeated in id and
+    text one stays.
+    """
     return drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by Jaccard likeness, the one with the least id; documents without words all stay."""
+    """Of documents connected by Jaccard likeness, the one with the least id.
+
+    Documents without words (null and empty texts too) all stay, and so do rows without an id. Rows of one id with
+    different texts are judged each by its own text; of rows repeated in both, one stays.
+    """
     return one_of_each_component(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is a source of its own. Null and empty texts have no words, and so no weight in the mix; they are taken
+    as often as others of a word. Rows of one id and size share their fate, also where they decide how near the target is met.
+    """
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as pieces of sequences of 2048 ids."""
+    """The mix as pieces of sequences of 2048 ids.
+
+    Null and empty texts are one end id each. Copies and repeated rows are packed as often as they occur; a null id is kept.
+    """
     return pack_documents(docs)
 
 
