@@ -56,3 +56,21 @@ def test_stages_one_by_one(spark):
     total = pieces.agg({"length": "sum"}).first()[0]
     assert pieces.select("sequence_id").distinct().count() <= -(-total // 2048) + 1
     assert corpus_pipeline.run(spark, FOLDER).count() == pieces.count()
+
+
+def test_pipeline_of_awkward_and_of_no_rows(spark, awkward, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through every stage; so does an empty table."""
+    known = spark.createDataFrame([(1, 0), (6, 0), (8, 1), (None, 1)], "doc_id long, toxic int")
+    for name, docs, labels in (("rows", awkward, known), ("none", awkward.limit(0), known.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        left = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, apply in corpus_pipeline.STAGES[:-1]:
+            out = apply(spark, left, folder)
+            assert out.columns == docs.columns, stage
+            left = corpus_pipeline.write_table(out, f"test-{stage}")
+        ids = [r["doc_id"] for r in left.collect()]
+        pieces = corpus_pipeline.STAGES[-1][1](spark, left, folder).collect()
+        assert sorted(r["doc_id"] for r in pieces if r["piece"] == 0 and r["doc_id"] is not None) == sorted(i for i in ids if i is not None)
+        assert bool(ids) == (name == "rows") and not {1, 3} & set(ids)

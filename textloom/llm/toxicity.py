@@ -22,7 +22,7 @@ PRIOR = 10
 PREFIXES = (8, 7, 6, 5, 4)
 STEPS, RATE, DECAY = 300, 0.05, 1e-4
 START_BIAS = -7.0
-#: Without any toxic or any clean label there is nothing to learn; then every sentence has these log odds.
+#: Without any toxic or any clean label there is nothing to learn; then every sentence has these log odds, and is clean.
 NO_MODEL = -9.0
 
 
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
-        return {}, NO_MODEL if not toxic else -NO_MODEL, {}
+        return {}, NO_MODEL, {}
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
