@@ -22,13 +22,13 @@ from textloom.llm.toxicity import fit, score_toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are toxic less likely than not.
 
-    Null and empty texts are scored as one empty sentence, which is clean unless all labels are toxic, and stay as they
-    are. Equal rows share their fate, repeated ones all stay or all go; a null id does not matter. Without labels of
-    both kinds there is nothing to learn, and all go only if all labels are toxic.
+    Null and empty texts are scored as one empty sentence, and stay as they are. Equal rows share their fate, repeated
+    ones all stay or all go; a null id does not matter. Without labels of both kinds there is nothing to learn, and all stay.
     """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_toxicity(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where("score < 0.5").select(*docs.columns)
+    of = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # no column may clash with those of the scores
+    scored = score_toxicity(docs.toDF(*of.values()), model, of["doc_id"], of["text"], keep=tuple(x for c, x in of.items() if c != "doc_id"))
+    return scored.where("score < 0.5").select(*of.values()).toDF(*of)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
