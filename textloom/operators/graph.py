@@ -58,6 +58,15 @@ class Dag:
         edges = self.edges.join(ids.withColumnRenamed("ordinal", "from_ord"), "from_ord", "left_anti").join(ids.withColumnRenamed("ordinal", "to_ord"), "to_ord", "left_anti")
         return Dag(self.vertices.join(ids, "ordinal", "left_anti"), edges.select("from_ord", "to_ord", "weight"))
 
+    def marked(self, marks: DataFrame) -> Dag:
+        """With the marks (ordinal, mark) of some vertices, 0 for those without one so far; a mark below 0 is an error."""
+        if marks.where("mark < 0").limit(1).count():
+            raise ValueError("marks begin at 0")
+        own = F.col("own") if "mark" in self.vertices.columns else F.lit(0)
+        old = self.vertices.withColumnRenamed("mark", "own")
+        met = old.join(marks.select("ordinal", "mark").dropDuplicates(["ordinal"]), "ordinal", "left").withColumn("mark", F.coalesce("mark", own).cast("int"))
+        return replace(self, vertices=met.drop("own"))
+
     # Look-ups
 
     def contains_vertices(self, asked: DataFrame) -> DataFrame:

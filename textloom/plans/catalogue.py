@@ -408,6 +408,20 @@ def lookups(spark, sf_dir):
     return out.unionByName(spark.range(1).select(F.lit("size").alias("what"), F.lit(dag.size()).cast("long").alias("from_ord"), ends)).unionByName(weight)
 
 
+@query(f"WITH {_VERTICES} SELECT ordinal, CASE WHEN ordinal < 1000 THEN 2 WHEN ordinal % 2 = 0 THEN 1 ELSE 0 END AS mark, true AS refused FROM vertex")
+def marked(spark, sf_dir):
+    """Marks of vertices, put on twice; one below 0 is refused."""
+    dag = _dag(spark, sf_dir)
+    some = dag.marked(dag.vertices.where("ordinal % 2 = 0").select("ordinal", F.lit(1).alias("mark")))
+    both = some.marked(dag.vertices.where("depth = 0").select("ordinal", F.lit(2).alias("mark")))
+    try:
+        both.marked(dag.vertices.select("ordinal", F.lit(-1).alias("mark")))
+        refused = False
+    except ValueError:
+        refused = True
+    return both.vertices.select("ordinal", "mark", F.lit(refused).alias("refused"))
+
+
 @query(f"WITH {_EDGES} SELECT from_ord, to_ord FROM edge WHERE NOT (to_ord >= 1000000 AND to_ord % 3 = 0)")
 def remove_edges(spark, sf_dir):
     """Without every third customer's edge."""
