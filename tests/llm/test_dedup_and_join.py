@@ -231,7 +231,6 @@ def test_common_shingles_and_large_groups_against_brute_force(spark, documents,
         rows.append((len(rows), " ".join(copy)))
     rows += [(len(rows) + k, rows[60][1]) for k in range(30)]
     want = brute_components(rows)
-    for common in (2, 16):
+    for common, parts in ((2, 3), (16, 1)):
         monkeypatch.setattr(jaccard_join, "COMMON", common)
-        for parts in (1, 4):
-            assert got_components(documents(*rows).repartition(parts)) == want, (common, parts)
+        assert got_components(documents(*rows).repartition(parts)) == want, (common, parts)

@@ -158,6 +158,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     range also goes to the range before it, which needs it as its last row's next. Only two numbers for each range, and
     never a text, reach the driver.
 
+    - Ids are whole numbers or what casts to them; give others a number first.
     - Null ids come after all others. Null text counts as empty. No rows give no rows. Rows equal in id and text are of
       one range, which a task reads row by row and never holds.
     - Rows repeated in id and text are neighbours of each other. Other columns are ignored, whatever their names.

@@ -435,6 +435,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets are one class. Classes without a possible link are ruled out by shares of common shingles (exact, no sampling);
     the rest are joined by prefixes. Sets are compared by 64-bit hashes of shingles and 128-bit hashes of sets.
 
+    - Ids are whole numbers or what casts to them; give others a number first.
     - Null and empty texts have no shingles and link with nothing, not even with one another. A text with fewer words
       than width has one shingle, all its words.
     - A row with a null id takes the component of rows with an equal set; it has no other links.

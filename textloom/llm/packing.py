@@ -126,6 +126,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, bucket_pieces: int
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, searches: tuple[Search, ...] = SEARCHES) -> DataFrame:
     """All documents in as few sequences of at most capacity ids as the search finds; one row for each piece.
 
+    - Ids are whole numbers or what casts to them; give others a number first.
     - Null and empty texts are one end id. A text of any length is cut, never shortened.
     - Repeated rows are packed as often as they occur; a null id is kept.
     - No rows give no rows; other columns are ignored, whatever their names.
