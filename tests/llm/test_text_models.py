@@ -120,6 +120,17 @@ def test_no_text_is_lost_to_odd_markup(html, text):
     assert extract_text(html)[0] == text
 
 
+@pytest.mark.parametrize("name", "ad-slot|top-ad|ads|related-articles|relatedPosts|share-buttons|site-header|login-form|cookie-bar|user-comments|comment|sidebar-left|main-nav|page-footer|copyright-notice|newsletter-signup|post-tags|skip-link".split("|"))
+def test_marked_surroundings_go_and_their_like_in_the_article_stays(name):
+    assert extract_text(page(f"{NAV}<div class='{name}'><p>{MORE}</p></div><article><p>{STORY}</p><p>{STORY}</p></article>{FOOT}"))[0] == f"{STORY} {STORY}"
+    assert extract_text(page(f"{NAV}<div><p>{STORY}</p><p>{STORY}</p></div><section id='{name}'><p>{MORE}</p></section>{FOOT}"))[0] == f"{STORY} {STORY}"
+
+
+@pytest.mark.parametrize("name", "content|reader-content|search-results|no-sidebar|with-ads|post|story-text|has-comments|loaded|shared-values|tagline|navel".split("|"))
+def test_other_class_words_do_not_matter(name):
+    assert extract_text(page(f"{NAV}<div class='{name}'><p>{STORY}</p></div><div><p>{MORE}</p></div>{FOOT}"))[0] == f"{STORY} {MORE}"
+
+
 @pytest.mark.parametrize("html", ["<div>" * 8000 + "</p>" * 8000, "<svg>" * 20_000, "<title>" * 20_000, "<a href=x>" * 20_000, "<p a='x" * 20_000, "<div>x " * 8000, "<td><table>" * 8000])
 def test_time_grows_with_the_page(html):
     import time

@@ -28,13 +28,18 @@ ARTICLE = frozenset("article main".split())
 #: a name (`comment-list`), or only if no other word is beside them (`share`, `related box`, but not `search-results`).
 ANYWHERE = frozenset(
     (
-        "advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus footer menu nav navbar navigation "
+        "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus footer menu nav navbar navigation "
         "newsletter pager pagination popup promo promotion sidebar sponsored toolbar widget"
     ).split()
 )
-ALONE = frozenset("ad ads consent copyright header login modal notice promoted related reply replies respond search share sharing signup skip social sponsor subscribe tags".split())
+ALONE = frozenset("consent copyright header login modal notice promoted related reply replies respond search share sharing signup skip social sponsor subscribe tags".split())
 #: Words that say nothing beside those, and words before one of them by which a name only tells of the layout.
-NEUTRAL = frozenset("area block box container group inner item items left list outer panel right section top bottom wrap wrapper".split())
+NEUTRAL = frozenset(
+    (
+        "area articles bar block bottom box button buttons container form group icons inner item items left link links list media outer page panel post posts right section site "
+        "stories text this top wrap wrapper"
+    ).split()
+)
 LAYOUT = frozenset("has no not with without hide is".split())
 #: Frequent words of the languages that pages are in.
 STOP_WORDS = frozenset(
