@@ -395,6 +395,7 @@ def prefix_join(ordered: DataFrame, connected: DataFrame, percent: int) -> DataF
     rows = write_table(rows, "prefix-rows")
     shares = rows.groupBy("token", "component").agg(F.count("*").alias("groups"))
     buckets = shares.groupBy("token").agg(F.count("*").alias("components"), F.max_by("component", F.struct("groups", "component")).alias("main")).where("components > 1").select("token", "main")
+    buckets = write_table(buckets, "shared-tokens")  # written, so that the join below is one that adaptive execution can split
     active = write_table(rows.join(buckets, "token"), "active-rows")
     side = lambda x: active.select(*[F.col(c).alias(c if c == "token" else f"{c}_{x}") for c in ("token", "group", "n", "component", "place", "main")])
     a, b = side("a").where("component_a <> main_a"), side("b")
@@ -424,7 +425,7 @@ def prefix_join(ordered: DataFrame, connected: DataFrame, percent: int) -> DataF
     pairs = left.join(of.select(F.col("group").alias("group_a"), F.col("rep").alias("a")), "group_a").join(of.select(F.col("group").alias("group_b"), F.col("rep").alias("b")), "group_b").select("a", "b")
     pairs = write_table(pairs.join(first, ["a", "b"], "left_anti").where((F.col("a") != F.col("b"))), "pairs")
     links = write_table(first.unionByName(verified(pairs)), "links")
-    drop_tables(members, groups, rows, active, met, pairs, first)
+    drop_tables(members, groups, rows, buckets, active, met, pairs, first)
     return links
 
 
