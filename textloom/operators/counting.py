@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.stop_words import in_any_list
 from textloom.functions.text import words
+from textloom.tables import write_table
 
 TOP_OF_SOURCE = 10
+#: So many rows (id, word, n) a task may get, about 30 MB for its hash table and its sort together.
+ROWS_OF_TASK = 250_000
 
 
 def saturated(n: Column, step: int = 1, most: int | None = None) -> Column:
@@ -58,14 +63,43 @@ def rendered(counter: DataFrame) -> DataFrame:
     return counter.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "n"))))).alias("json"))
 
 
-def top_of_each(items: DataFrame, k: int = TOP_OF_SOURCE, id_col: str = "source_id", languages: list[str] | None = None) -> DataFrame:
-    """id_col, word, n, rank: the k most frequent words of each source. Words are counted before sources meet in a window."""
+def _parts(rows: int) -> int:
+    """A number of tasks for so many rows (id, word, n), that keeps each task's share the same however many rows there are."""
+    return max(1, -(-rows // ROWS_OF_TASK))
+
+
+def top_of_each(items: DataFrame, k: int = TOP_OF_SOURCE, id_col: str = "source_id", languages: list[str] | None = None, count_col: str | None = None, parts: int | None = None) -> DataFrame:
+    """id_col, word, n, rank: the k most frequent words of each source. Words are counted before sources meet in a window.
+
+    parts: into so many tasks the sources are dealt first; one exchange then serves the counts and the window.
+    """
     kept = without_stop_words(items, ["english", "java"] if languages is None else languages)
-    counts = kept.groupBy(id_col, "word").agg(F.count("*").cast("long").alias("n"))
+    kept = kept.repartition(parts, id_col) if parts else kept
+    counts = kept.groupBy(id_col, "word").agg((F.sum(count_col) if count_col else F.count("*")).cast("long").alias("n"))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "word"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which value is computed once, although a function in it asks for it at each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def counted(words: Column) -> Column:
+    """array of struct<word, n>: the different words of an array, in order, and how often each is in it."""
+
+    def runs(sorted_words: Column, ends: Column) -> Column:
+        return F.transform(ends, lambda end, k: F.struct(F.get(sorted_words, end - 1).alias("word"), (end - F.coalesce(F.get(ends, k - 1), F.lit(0))).cast("long").alias("n")))
+
+    def within(sorted_words: Column) -> Column:
+        n = F.size(sorted_words)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        ends = F.filter(places, lambda i: (i == n) | (F.get(sorted_words, i) != F.get(sorted_words, i - 1)))
+        return _bound(ends, lambda found: runs(sorted_words, found))
+
+    return _bound(F.sort_array(words), within)
+
+
 def document_frequency(tops: DataFrame) -> DataFrame:
     """word, n: in how many sources' tops a word is."""
     return tops.groupBy("word").agg(F.count("*").cast("long").alias("n"))
@@ -77,9 +111,23 @@ def prose_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def prose_tops(docs: DataFrame, k: int = TOP_OF_SOURCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, word, n, rank: the k most frequent words of each document. Documents are dealt by id before they are cut into
-    words: one exchange, of the texts, serves the counts and the window."""
-    return top_of_each(prose_words(docs.select(id_col, text_col).repartition(id_col), id_col, text_col), k, id_col)
+    """id_col, word, n, rank: the k most frequent words of each document. A document whose id no other has is counted within its
+    row, so a task holds the words of one document at a time; only of ids that several rows have the counts are added up."""
+    docs = docs.select(id_col, text_col)
+    repeated = write_table(docs.groupBy(id_col).agg(F.count("*").alias("rows")).where("rows > 1").select(F.col(id_col).alias("_id")), "repeated")
+    counts = F.filter(counted(words(F.col(text_col))), lambda c: ~in_any_list(c["word"], ["english", "java"]))
+    dealt = docs.repartition(id_col, F.length(text_col))  # a file may have few row groups
+    some = not repeated.isEmpty()
+    met = F.col(id_col).eqNullSafe(F.col("_id"))
+    alone = dealt.join(repeated, met, "left_anti") if some else dealt
+    ranked = F.slice(F.sort_array(F.transform(counts, lambda c: F.struct((-c["n"]).alias("less"), c["word"].alias("word")))), 1, max(k, 0))
+    tops = alone.select(id_col, F.posexplode(ranked).alias("place", "c")).select(id_col, "c.word", (-F.col("c.less")).alias("n"), (F.col("place") + 1).alias("rank"))
+    if not some:
+        return tops
+    again = write_table(dealt.join(repeated, met, "left_semi").select(id_col, F.explode(counts).alias("c")).select(id_col, "c.*"), "counts")
+    parts = _parts(again.count())
+    summed = again.repartition(parts, id_col, "word").groupBy(id_col, "word").agg(F.sum("n").alias("n"))
+    return tops.unionByName(top_of_each(summed, k, id_col, [], "n", parts))
 
 
 def prose_concepts(docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
