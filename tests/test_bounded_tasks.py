@@ -40,3 +40,10 @@ def test_counts_of_an_array(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", words(F.col("text")).alias("w"))
     for r in df.select("w", counting.counted(F.col("w")).alias("c")).collect():
         assert [tuple(c) for c in r["c"]] == sorted(Counter(r["w"]).items(), key=lambda p: p[0].encode())
+
+
+def test_corpus_concepts_hold_counts_of_words_only(spark):
+    docs = spark.createDataFrame([(1, "beta alpha beta gamma"), (2, "alpha")], "doc_id long, text string")
+    concepts = counting.prose_concepts(docs, 1)
+    assert "Window" not in plan(concepts) and "keys=[doc_id" not in plan(concepts)
+    assert [tuple(r) for r in concepts.collect()] == [("alpha", 2)]
