@@ -2,10 +2,11 @@
 
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions.text import words
-from textloom.operators import counting
+from textloom.operators import counting, segmentation
 
 
 def plan(df):
@@ -47,3 +48,25 @@ def test_corpus_concepts_hold_counts_of_words_only(spark):
     concepts = counting.prose_concepts(docs, 1)
     assert "Window" not in plan(concepts) and "keys=[doc_id" not in plan(concepts)
     assert [tuple(r) for r in concepts.collect()] == [("alpha", 2)]
+
+
+def test_sources_leave_python_in_small_parts():
+    texts = ["class A { }"] * 1000 + [None] * 300 + ["x" * 100_000] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["source_id", "content"])
+    parts = list(segmentation.parts_of(batch))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    for p in parts:
+        assert 0 < p.num_rows <= segmentation.PART_ROWS
+        assert sum(len(t or "") for t in p.column(1).to_pylist()[:-1]) < segmentation.PART_BYTES
+
+
+def test_only_wanted_columns_are_made(spark):
+    sources = spark.createDataFrame([(1, "class A { int f() { return 1; } }"), (2, None), (3, "class A {")], "source_id int, content string")
+    full, some = segmentation.parse_sources(sources), segmentation.parse_sources(sources, wanted=("error", "unit"))
+    assert some.columns == ["source_id", "unit", "error"]
+    assert sorted(some.collect()) == sorted(full.select(*some.columns).collect()) and some.where("error is null").count() == 2
+
+
+def test_a_source_that_ends_where_a_name_is_expected_has_an_error():
+    for text in ("@", "class", "class A { @", "class A { void f() { int x = y.", "class A { enum"):
+        assert segmentation.describe(text, frozenset())["error"], text

@@ -76,7 +76,7 @@ def run_concepts(args, spark: SparkSession | None = None) -> int:
 
 
 def _code_features(relevant: list[str]) -> typicality.Processor:
-    return typicality.Processor(lambda sources: segmentation.segments_code(sources, segmentation.parse_sources(sources, relevant)).withColumn("data", F.coalesce("data", F.lit(""))))
+    return typicality.Processor(lambda sources: segmentation.segments_code(sources, segmentation.parse_sources(sources, relevant, wanted=("unit", "segments", "error"))).withColumn("data", F.coalesce("data", F.lit(""))))
 
 
 def _snippets(sources: DataFrame, relevant: list[str], chosen: DataFrame) -> DataFrame:

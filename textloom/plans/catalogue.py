@@ -628,7 +628,7 @@ def unit_code(spark, sf_dir):
 def segments_code(spark, sf_dir):
     """What the segments that are kept span."""
     java = _java(spark, sf_dir)
-    return segmentation.segments_code(java, segmentation.parse_sources(java))
+    return segmentation.segments_code(java, segmentation.parse_sources(java, wanted=("unit", "segments", "error")))
 
 
 _WORDS_OF_JAVA = f"""said AS (
