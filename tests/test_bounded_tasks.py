@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions.text import words
-from textloom.operators import counting, segmentation
+from textloom.operators import concepts, counting, segmentation
 
 
 def plan(df):
@@ -70,3 +70,24 @@ def test_only_wanted_columns_are_made(spark):
 def test_a_source_that_ends_where_a_name_is_expected_has_an_error():
     for text in ("@", "class", "class A { @", "class A { void f() { int x = y.", "class A { enum"):
         assert segmentation.describe(text, frozenset())["error"], text
+
+
+def test_names_of_sources_are_counted_before_rows_meet(spark, monkeypatch):
+    text = "class BallPark { int ballPark; int ballPark(int ballPark) { int parkBall = ballPark; return ballPark + parkBall; } }"
+    seen = []
+    monkeypatch.setattr(concepts, "write_table", lambda df, name, by=(): seen.append((name, df.count())) or df)
+    sources = spark.createDataFrame([(1, text), (2, text), (3, "not java {")], "source_id long, content string")
+    dictionary = spark.createDataFrame([("ball", 3), ("park", 2)], "word string, freq long")
+    for words_known in (None, dictionary):
+        found = {tuple(r) for r in concepts.source_concepts(sources, words_known).collect()}
+        assert found == {(i, w, n, r) for i in (1, 2) for w, n, r in (("ball", 8, 1), ("park", 8, 2))}
+    assert ("pieces", 12) in seen  # a source says three names eight times, of two pieces each
+
+
+def test_top_of_each_in_given_parts(spark):
+    rows = [(i, f"w{k % 9}", k) for i in range(20) for k in range(1, 30)]
+    items = spark.createDataFrame(rows, "source_id long, word string, n long")
+    parts = counting.top_of_each(items, 3, count_col="n", parts=5)
+    assert plan(parts).count("Exchange") == 1
+    assert sorted(parts.collect()) == sorted(counting.top_of_each(items, 3, count_col="n").collect())
+    assert counting.parts_for(0) == 1 and counting.parts_for(counting.ROWS_OF_TASK + 1) == 2

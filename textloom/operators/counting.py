@@ -63,7 +63,7 @@ def rendered(counter: DataFrame) -> DataFrame:
     return counter.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "n"))))).alias("json"))
 
 
-def _parts(rows: int) -> int:
+def parts_for(rows: int) -> int:
     """A number of tasks for so many rows (id, word, n), that keeps each task's share the same however many rows there are."""
     return max(1, -(-rows // ROWS_OF_TASK))
 
@@ -125,7 +125,7 @@ def prose_tops(docs: DataFrame, k: int = TOP_OF_SOURCE, id_col: str = "doc_id",
     if not some:
         return tops
     again = write_table(dealt.join(repeated, met, "left_semi").select(id_col, F.explode(counts).alias("c")).select(id_col, "c.*"), "counts")
-    parts = _parts(again.count())
+    parts = parts_for(again.count())
     summed = again.repartition(parts, id_col, "word").groupBy(id_col, "word").agg(F.sum("n").alias("n"))
     return tops.unionByName(top_of_each(summed, k, id_col, [], "n", parts))
 
