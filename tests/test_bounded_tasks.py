@@ -91,3 +91,13 @@ def test_top_of_each_in_given_parts(spark):
     assert plan(parts).count("Exchange") == 1
     assert sorted(parts.collect()) == sorted(counting.top_of_each(items, 3, count_col="n").collect())
     assert counting.parts_for(0) == 1 and counting.parts_for(counting.ROWS_OF_TASK + 1) == 2
+
+
+def test_corpus_concepts_of_sources_deal_them_once(spark):
+    text = "class BallPark { int ball; int park(int tree) { return ball + tree; } }"
+    sources = spark.createDataFrame([(k, text) for k in range(3)] + [(3, "class Tree { }")], "source_id long, content string")
+    found = concepts.corpus_concepts(sources, None, k=2)
+    dealt = [line for line in plan(found).split("\n") if "Exchange" in line]
+    assert sum("REPARTITION_BY_NUM" in line for line in dealt) == 1
+    assert not any("source_id" in line and "ENSURE_REQUIREMENTS" in line for line in dealt)
+    assert [tuple(r) for r in found.collect()] == [("tree", 4), ("ball", 3)]
