@@ -101,3 +101,21 @@ def test_corpus_concepts_of_sources_deal_them_once(spark):
     assert sum("REPARTITION_BY_NUM" in line for line in dealt) == 1
     assert not any("source_id" in line and "ENSURE_REQUIREMENTS" in line for line in dealt)
     assert [tuple(r) for r in found.collect()] == [("tree", 4), ("ball", 3)]
+
+
+def test_equal_texts_are_parsed_once_and_count_as_often_as_they_are(spark, monkeypatch):
+    ball, tree = "class Ball { int ball; int park(int tree) { return ball + tree; } }", "class Tree { int tree; }"
+    rows = [(1, ball), (2, ball), (3, tree), (4, "not java {"), (5, None), (6, ""), (7, ball), (7, tree), (None, tree), (None, tree), (8, ball), (8, ball)]
+    seen = {}
+    monkeypatch.setattr(concepts, "write_table", lambda df, name, by=(), write=concepts.write_table: seen.setdefault(name, write(df, name, by)))
+    once = spark.createDataFrame(rows[:6], "source_id long, content string")
+    assert [tuple(r) for r in concepts.corpus_concepts(once).collect()] == [("tree", 3), ("ball", 2), ("park", 2)]
+    assert sorted(tuple(r) for r in seen["texts"].select("content", "copies").collect()) == [("", 2), (ball, 2), (tree, 1), ("not java {", 1)]
+    assert seen["pieces"].select("source_id").distinct().count() == 2
+    monkeypatch.undo()
+    every = spark.createDataFrame(rows, "source_id long, content string")
+    dictionary = spark.createDataFrame([("ball", 3), ("park", 2), ("tree", 1)], "word string, freq long")
+    for known in (None, dictionary):
+        n = concepts.document_frequency(concepts.source_concepts(every, known))
+        wanted = sorted(((r["word"], r["n"]) for r in n.collect()), key=lambda p: (-p[1], p[0]))
+        assert [tuple(r) for r in concepts.corpus_concepts(every, known).collect()] == wanted == [("tree", 6), ("ball", 4), ("park", 4)]

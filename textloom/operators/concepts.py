@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import identifier_parts, is_identifier_of_interest, only_consonants
-from textloom.operators.counting import counted, document_frequency, most_frequent, parts_for, top_of_each
+from textloom.operators.counting import combine, counted, document_frequency, most_frequent, parts_for, top_of_each
 from textloom.operators.segmentation import outside, parse_sources
 from textloom.operators.spelling import accepted, correct
-from textloom.tables import write_table
+from textloom.tables import spread, write_table
 
 
 def _labels(name: Column) -> Column:
@@ -65,5 +65,23 @@ def source_errors(sources: DataFrame, relevant: list[str] | None = None, compat:
 
 
 def corpus_concepts(sources: DataFrame, dictionary: DataFrame | None = None, relevant: list[str] | None = None, k: int = 10, compat: bool = True) -> DataFrame:
-    """word, n: the k words that are among the ten most frequent of most sources."""
-    return most_frequent(document_frequency(source_concepts(sources, dictionary, relevant, compat=compat)), k)
+    """word, n: the k words that are among the ten most frequent of most sources.
+
+    Different texts are parsed once each and count as often as there are sources of them. Rows of one id are one source: those
+    of ids that several rows have are left as they are.
+    """
+    sources = sources.select(F.col("source_id").cast("long").alias("source_id"), F.coalesce("content", F.lit("")).alias("content"))
+    repeated = write_table(sources.groupBy("source_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("source_id").alias("_id")), "repeated")
+    some = not repeated.isEmpty()
+    met = F.col("source_id").eqNullSafe(F.col("_id"))
+    if some and dictionary is not None:
+        dictionary = write_table(dictionary, "dictionary")
+    alone = sources.join(repeated, met, "left_anti") if some else sources
+    copies = alone.groupBy("content").agg(F.count("*").alias("copies"))
+    texts = write_table(copies.select(F.monotonically_increasing_id().alias("source_id"), "content", "copies"), "texts")
+    tops = source_concepts(spread(texts.select("source_id", "content"), "source_id"), dictionary, relevant, compat=compat)
+    n = tops.join(texts.select("source_id", "copies"), "source_id").groupBy("word").agg(F.sum("copies").cast("long").alias("n"))
+    if some:
+        again = source_concepts(sources.join(repeated, met, "left_semi"), dictionary, relevant, compat=compat)
+        n = combine(n, document_frequency(again))
+    return most_frequent(n, k)
